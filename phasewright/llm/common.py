@@ -42,7 +42,7 @@ def map_texts(
 ) -> DataFrame:
     """Run ``work`` over Arrow batches of ``columns``; it gets and gives columns by name."""
     names = [part.strip().split(" ")[0].strip("`") for part in schema.split(",")]
-    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary()}
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(n, types[part.strip().split(" ")[1]]) for n, part in zip(names, schema.split(","), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

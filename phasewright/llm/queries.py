@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_extraction import op10_html_extraction
+from .jaccard_join import op6_ngram_jaccard_join
 from .licenses import op9_license_scan
 from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op9_license_scan": op9_license_scan,
         "op10_html_extraction": op10_html_extraction,
     }
