@@ -8,16 +8,17 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import checkpoint, map_texts, mix, table, utf8, word_grams
+from .common import checkpoint, map_texts, mix, small_side, table, utf8, word_grams
 from .graph import components
 
-#: Frequent tokens are dealt into this many classes, within which pairs are indexed.
-CLASSES = 32
 #: A token of at least so many sets may count as frequent, ...
 FREQUENT = 100
 #: ... but only the most frequent ones, so that the table has a fixed bound (2 MB).
 MOST_FREQUENT = 1 << 18
-_SINGLE, _SHORT = np.uint64(0x51D7348A1E5F0B27), np.uint64(0x2C9277B5F1D3A86D)
+#: Sets by size: (classes that frequent tokens are dealt into, largest size). The
+#: smallest sets use single tokens only. Linked sets are of one range or of two
+#: neighbours; a set near an edge is of both.
+RANGES = ((0, 13), (8, 1000), (64, 8000), (512, 1 << 62))
 
 
 @dataclass(frozen=True)
@@ -31,10 +32,18 @@ class Rule:
         """Tokens of a set of ``n`` that a linked set may lack."""
         return n - -(-self.percent * n // 100)
 
-    @property
-    def short(self) -> int:
-        """Sets up to this size use single tokens only; those near it use both ways."""
-        return -(-(CLASSES + 1) * 100 * 100 // self.percent**2)
+    def common(self, n: int, m: int) -> int:
+        """Tokens that linked sets of ``n`` and ``m`` have in common at least."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def ranges(self, n: int) -> list[tuple[int, int]]:
+        """(number, classes) of the ranges of a set of ``n``."""
+        out, low = [], 0
+        for i, (classes, high) in enumerate(RANGES):
+            if low * self.percent <= n * 100 and n <= high:
+                out.append((i, classes))
+            low = high
+        return out
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -43,19 +52,19 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def low_part(tokens: np.ndarray, rule: Rule) -> np.ndarray:
-    """The tokens that a prefix needs if few of them are frequent."""
+    """The tokens of least hash, as many as a prefix needs if few of them are frequent."""
     n = len(tokens)
-    return tokens if n <= rule.short + 16 else tokens[: rule.spare(n) + 1 + CLASSES]
+    return tokens[: rule.spare(n) + 1 + max(c for _, c in rule.ranges(n))] if n > 40 else tokens
 
 
 def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, rule: Rule) -> np.ndarray | None:
     """Index keys of a set; None if more of its tokens are needed than given.
 
     Tokens are ordered rare before frequent, then by hash. A prefix of single
-    rare tokens covers one lacking token each. Frequent tokens are of ``CLASSES``
+    rare tokens covers one lacking token each. Frequent tokens are of several
     classes; with ``m`` of a class in the prefix, all its pairs are keys and cover
     ``m - 1``. The prefix is extended until it covers one more than a linked set
-    may lack, so that two linked sets share a key.
+    may lack, so that two linked sets share a key. A rare token is its own key.
     """
     need, complete, out = rule.spare(n) + 1, len(tokens) == n, []
     hot = np.zeros(len(tokens), bool)
@@ -63,28 +72,29 @@ def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, rule: Rule) ->
         at = np.searchsorted(frequent, tokens)
         hot = frequent[np.minimum(at, len(frequent) - 1)] == tokens
     rare = tokens[~hot]
-    if n <= rule.short:
-        first = np.concatenate((rare, tokens[hot]))[:need]
-        out.append(mix(first.astype(np.uint64) ^ _SHORT))
-    if n * 100 >= rule.percent * rule.short:
-        if len(rare) < need and not complete:
-            return None
-        out.append(mix(rare[:need].astype(np.uint64) ^ _SINGLE))
-        missing = need - len(rare)
-        if missing > 0:
+    if len(rare) < need and not complete:
+        return None
+    out.append(rare[:need])
+    missing = need - len(rare)
+    if missing > 0:
+        for number, classes in rule.ranges(n):
+            if not classes:
+                out.append((mix(tokens[hot][:missing].astype(np.uint64)) >> np.uint64(1)).astype(np.int64))
+                continue
             members: dict[int, list[int]] = {}
+            left = missing
             for token in tokens[hot].tolist():
-                group = members.setdefault(token % CLASSES, [])
-                missing -= bool(group)
+                group = members.setdefault(token % classes, [])
+                left -= bool(group)
                 group.append(token)
-                if missing <= 0:
+                if left <= 0:
                     break
             for group in members.values():
                 if len(group) > 1:
                     i, j = np.triu_indices(len(group), 1)
                     g = np.array(group, np.uint64)
-                    out.append(mix(mix(g[i]) ^ g[j]))
-    return np.unique((np.concatenate(out) >> np.uint64(1)).astype(np.int64))
+                    out.append((mix(mix(g[i] + np.uint64(number)) ^ g[j]) >> np.uint64(1)).astype(np.int64))
+    return np.unique(np.concatenate(out))
 
 
 def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -105,12 +115,17 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
         same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, x["key"], strict=True)]
         return {c: [v for v, ok in zip(values, same, strict=True) if ok] for c, values in (("node", x["node"]), ("n", list(map(len, sets))), ("tokens", sets))}
 
-    chosen = docs.join(nodes.select("rep", "node", "key"), F.col("_id").eqNullSafe(F.col("rep"))).select("node", "key", "_text")
-    return map_texts(chosen, ["node", "key", "_text"], "node long, n long, tokens array<long>", work).dropDuplicates(["node"])
+    def cut(wanted: DataFrame) -> DataFrame:
+        chosen = docs.join(small_side(wanted.select("rep", "node", "key")), F.col("_id").eqNullSafe(F.col("rep"))).select("node", "key", "_text")
+        return map_texts(chosen, ["node", "key", "_text"], "node long, n long, tokens array<long>", work)
+
+    repeated = nodes.where("copies > 1")
+    once = cut(nodes.where("copies = 1"))
+    return once if repeated.isEmpty() else once.unionByName(cut(repeated).dropDuplicates(["node"]))
 
 
 def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Rule) -> DataFrame:
-    """(sig, node, n) for each key; a row with a null key for a set that lacks tokens."""
+    """(node, n, sigs) with the keys of each set; null for a set that lacks tokens."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
         keys = [signatures(np.array(t, np.int64), n, frequent, rule) for t, n in zip(x[tokens], x["n"], strict=True)]
@@ -119,41 +134,61 @@ def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Ru
     return map_texts(sets, ["node", "n", tokens], "node long, n long, sigs array<long>", work)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("_tb"))
-    percent = rule.percent
+def _pairs_where(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) whose tokens in ``column`` pass ``test(x, y, size of a, size of b)``."""
+    side = lambda k: sets.select(F.col("node").alias(k), F.col("n").alias(f"_n{k}"), F.col(column).alias(f"_t{k}"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
+            x, y, n, m = (batch.column(i) for i in range(2, 6))
+            keep = [test(x[i].values.to_numpy(), y[i].values.to_numpy(), n[i].as_py(), m[i].as_py()) for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "_ta", "_tb").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_ta", "_tb", "_na", "_nb").mapInArrow(run, "a long, b long")
+
+
+def _may_link(rule: Rule):
+    """Whether the tokens of least hash leave room for a link; never false for linked sets."""
+
+    def test(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+        last = min(x[-1] if len(x) < n else np.iinfo(np.int64).max, y[-1] if len(y) < m else np.iinfo(np.int64).max)
+        x, y = x[: np.searchsorted(x, last, "right")], y[: np.searchsorted(y, last, "right")]
+        shared, least = len(np.intersect1d(x, y, assume_unique=True)), rule.common(n, m)
+        return len(x) - shared <= n - least and len(y) - shared <= m - least
+
+    return test
+
+
+def _links(rule: Rule):
+    def test(x: np.ndarray, y: np.ndarray, n: int, m: int) -> bool:
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * shared >= rule.percent * (n + m - shared)
+
+    return test
 
 
 def _near_sizes(a: str, b: str, rule: Rule):
     return (F.col(a) * 100 >= F.col(b) * rule.percent) & (F.col(b) * 100 >= F.col(a) * rule.percent)
 
 
-def _frequent_tokens(rows: DataFrame, have: np.ndarray | None = None) -> np.ndarray:
-    """The tokens of most sets, at most ``MOST_FREQUENT``, ascending."""
-    counts = checkpoint(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT))
-    levels = sorted(((r["c"], r["k"]) for r in counts.groupBy(F.floor(F.log2("c") * 8).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+def _level(c: str):
+    return F.floor(F.log2(c) * 8)
+
+
+def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """The tokens (token, c) of most sets, at most ``MOST_FREQUENT``, ascending; and their least level."""
+    counts = counts.where(F.col("c") >= FREQUENT).withColumn("level", _level("c"))
+    levels = sorted(((r["level"], r["k"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     total, least = len(have) if have is not None else 0, None
     for level, k in levels:
         total += k
         if total > MOST_FREQUENT:
             break
         least = level
-    found = [] if least is None else [r["token"] for r in counts.where(F.floor(F.log2("c") * 8) >= least).select("token").collect()]
-    return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
+    found = [] if least is None else [r["token"] for r in counts.where(F.col("level") >= least).select("token").collect()]
+    return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)])), 1 << 20 if least is None else least
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 4) -> DataFrame:
@@ -174,28 +209,31 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
     """
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     rows = checkpoint(_shingled(docs, rule))
-    nodes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    # one row of each class keeps its tokens
-    held = rows.where("n > 0").select("key", F.col("doc_id").alias("_d"), "low").join(nodes.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & F.col("_d").eqNullSafe(F.col("rep"))).dropDuplicates(["key"])
-    nodes = checkpoint(held.select(F.monotonically_increasing_id().alias("node"), "key", "rep", "n", "low"))
-
-    low = nodes.select(F.explode("low").alias("token"))
-    frequent = _frequent_tokens(low)
-    keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule))
+    ids = rows.where("n > 0").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    classes = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.coalesce(F.min_by("c", "doc_id"), F.lit(2)).alias("copies"))
+    held = rows.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), "low").join(classes, (F.col("key") == F.col("_k")) & F.col("_d").eqNullSafe(F.col("rep"))).select("key", "rep", "n", "copies", "low")
+    held = held.where("copies = 1").union(held.where("copies > 1").dropDuplicates(["key"])) if not ids.where("c > 1").isEmpty() else held
+    nodes = checkpoint(held.withColumn("node", F.monotonically_increasing_id()))
+
+    low = nodes.select(F.explode("low").alias("sig"), "node", "n")
+    counts = checkpoint(low.groupBy(F.col("sig").alias("token")).agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    frequent, least = _frequent_tokens(counts)
+    keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule).where(F.col("sigs").isNull() | (F.col("n") <= 40)))
     lacking = keyed.where("sigs is null").select("node")
     if not lacking.isEmpty():
         # sets full of frequent tokens: count all their tokens, then take whole sets for those that still lack some
-        more = _frequent_tokens(_whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule).select(F.explode("tokens").alias("token")), frequent)
+        all_tokens = _whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule).select(F.explode("tokens").alias("token"))
+        more, _ = _frequent_tokens(checkpoint(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)), frequent)
         if len(more) > len(frequent):
             frequent = more
-            keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule))
+            keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule).where(F.col("sigs").isNull() | (F.col("n") <= 40)))
             lacking = keyed.where("sigs is null").select("node")
         whole = _signature_rows(_whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule), "tokens", frequent, rule)
         keyed = keyed.where("sigs is not null").unionByName(checkpoint(whole))
-    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n")
-    shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = checkpoint(keys.join(shared.select("sig"), "sig"))
-    sets = checkpoint(_whole_sets(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), rule))
+    # other sets have enough rare tokens among those of least hash: each is a key
+    special = checkpoint(keyed.select(F.explode("sigs").alias("sig"), "node", "n"))
+    shared = counts.where((F.col("c") < FREQUENT) | (_level("c") < least)).select(F.col("token").alias("sig")).union(special.select("sig")).distinct()
+    members = checkpoint(low.join(shared, "sig", "left_semi").union(special).distinct())
 
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
     budget, round_ = pairs_per_row * members.count() + 1_000_000, 0
@@ -220,7 +258,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
             if round_:
                 pairs = pairs.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("_cb")), "b").where("_ca <> _cb")
         pairs = pairs.where(_near_sizes("_na", "_nb", rule)).select("a", "b").distinct()
-        links = checkpoint(_verified(pairs, sets, rule))
+        pairs = checkpoint(_pairs_where(pairs, nodes, "low", _may_link(rule)))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule)
+        links = checkpoint(_pairs_where(pairs, sets, "tokens", _links(rule)).distinct())
         if not links.isEmpty():
             if round_:
                 tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
