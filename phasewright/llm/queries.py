@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_extraction import op10_html_extraction
 from .jaccard_join import op6_ngram_jaccard_join
 from .licenses import op9_license_scan
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
 from .token_counts import op2_token_counts
@@ -20,10 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_html_extraction": op10_html_extraction,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_line_dedup": OP8_SQL,
+    }
