@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_benchmark_decontamination
 from .html_extraction import op10_html_extraction
 from .jaccard_join import op6_ngram_jaccard_join
 from .licenses import op9_license_scan
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_classifier": op1_quality_classifier,
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
