@@ -64,7 +64,11 @@ def within_radius(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
     own blocks up. Were all seven blocks to differ in 3 bits or more, the
     fingerprints would differ in 21.
     """
-    entry = lambda values: F.explode(F.flatten(F.array(*[F.transform(v, lambda x, i=i: F.struct(F.lit(i).alias("block"), x.alias("value"))) for i, v in enumerate(values)])))
+
+    def numbered(i: int, values: Column) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(i).alias("block"), x.alias("value")))
+
+    entry = lambda values: F.explode(F.flatten(F.array(*[numbered(i, v) for i, v in enumerate(values)])))
     index = right.select(*on, "item", F.col("fp").alias("_fi"), entry([_near_values(a, w) for a, w in BLOCKS]).alias("_e")).select(*on, "item", "_fi", "_e.*")
     probe = left.select(*on, "win", F.col("fp").alias("_fw"), entry([F.array(_block(F.col("fp"), a, w)) for a, w in BLOCKS]).alias("_e")).select(*on, "win", "_fw", "_e.*")
     found = probe.join(index, [*on, "block", "value"]).select("win", "item", F.bit_count(F.col("_fw").bitwiseXOR(F.col("_fi"))).alias("distance"))
