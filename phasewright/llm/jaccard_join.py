@@ -12,7 +12,7 @@ from .common import checkpoint, map_texts, mix, small_side, table, utf8, word_gr
 from .graph import components
 
 #: A token of at least so many sets may count as frequent, ...
-FREQUENT = 100
+FREQUENT = 24
 #: ... but only the most frequent ones, so that the table has a fixed bound (2 MB).
 MOST_FREQUENT = 1 << 18
 #: Sets by size: (classes that frequent tokens are dealt into, largest size). The
@@ -125,13 +125,14 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Rule) -> DataFrame:
-    """(node, n, sigs) with the keys of each set; null for a set that lacks tokens."""
+    """(node, n, sigs, plain) with the keys of each set, null for a set that lacks tokens; plain if all keys are rare tokens."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
         keys = [signatures(np.array(t, np.int64), n, frequent, rule) for t, n in zip(x[tokens], x["n"], strict=True)]
-        return {"node": x["node"], "n": x["n"], "sigs": keys}
+        plain = [k is not None and n > RANGES[0][1] and len(np.intersect1d(k, t)) == rule.spare(n) + 1 == len(k) for k, t, n in zip(keys, x[tokens], x["n"], strict=True)]
+        return {"node": x["node"], "n": x["n"], "sigs": keys, "plain": plain}
 
-    return map_texts(sets, ["node", "n", tokens], "node long, n long, sigs array<long>", work)
+    return map_texts(sets, ["node", "n", tokens], "node long, n long, sigs array<long>, plain boolean", work)
 
 
 def _pairs_where(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
@@ -173,13 +174,9 @@ def _near_sizes(a: str, b: str, rule: Rule):
     return (F.col(a) * 100 >= F.col(b) * rule.percent) & (F.col(b) * 100 >= F.col(a) * rule.percent)
 
 
-def _level(c: str):
-    return F.floor(F.log2(c) * 8)
-
-
-def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """The tokens (token, c) of most sets, at most ``MOST_FREQUENT``, ascending; and their least level."""
-    counts = counts.where(F.col("c") >= FREQUENT).withColumn("level", _level("c"))
+def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.ndarray:
+    """The tokens (token, c) of most sets, at most ``MOST_FREQUENT``, ascending."""
+    counts = counts.where(F.col("c") >= FREQUENT).withColumn("level", F.floor(F.log2("c") * 8))
     levels = sorted(((r["level"], r["k"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
     total, least = len(have) if have is not None else 0, None
     for level, k in levels:
@@ -188,18 +185,20 @@ def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> tuple
             break
         least = level
     found = [] if least is None else [r["token"] for r in counts.where(F.col("level") >= least).select("token").collect()]
-    return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)])), 1 << 20 if least is None else least
+    return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 4) -> DataFrame:
     """Shingle count and component of every document.
 
     Equal sets are one node. Keys made by ``signatures`` find candidates; a pair
-    is a link only after its whole sets are compared. Within the sets of one key
-    a first round compares each with one pivot only; where sets of a key still
-    are of different components, other pivots follow, and at last every pair of
+    is a link only after its whole sets are compared. The sets of a frequent key
+    are first compared with one pivot each; where sets of a key still are of
+    different components, other pivots follow, and at last every pair of
     different components within a key is compared. So no link between different
     components is lost, while a group of near copies costs a few pairs a set.
+    Pairs are compared by their tokens of least hash first, which may rule a link
+    out; only the others' whole sets are cut again from their texts.
 
     A null or empty text has no shingles and is its own component; a text of
     fewer words than a shingle is one shingle. A null id takes part but names no
@@ -215,63 +214,68 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
     held = held.where("copies = 1").union(held.where("copies > 1").dropDuplicates(["key"])) if not ids.where("c > 1").isEmpty() else held
     nodes = checkpoint(held.withColumn("node", F.monotonically_increasing_id()))
 
-    low = nodes.select(F.explode("low").alias("sig"), "node", "n")
-    counts = checkpoint(low.groupBy(F.col("sig").alias("token")).agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    frequent, least = _frequent_tokens(counts)
-    keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule).where(F.col("sigs").isNull() | (F.col("n") <= 40)))
+    counts = checkpoint(nodes.select(F.explode("low").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    frequent = _frequent_tokens(counts)
+    keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule))
     lacking = keyed.where("sigs is null").select("node")
     if not lacking.isEmpty():
         # sets full of frequent tokens: count all their tokens, then take whole sets for those that still lack some
         all_tokens = _whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule).select(F.explode("tokens").alias("token"))
-        more, _ = _frequent_tokens(checkpoint(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)), frequent)
+        more = _frequent_tokens(checkpoint(all_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= FREQUENT)), frequent)
         if len(more) > len(frequent):
             frequent = more
-            keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule).where(F.col("sigs").isNull() | (F.col("n") <= 40)))
+            keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule))
             lacking = keyed.where("sigs is null").select("node")
         whole = _signature_rows(_whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule), "tokens", frequent, rule)
         keyed = keyed.where("sigs is not null").unionByName(checkpoint(whole))
-    # other sets have enough rare tokens among those of least hash: each is a key
-    special = checkpoint(keyed.select(F.explode("sigs").alias("sig"), "node", "n"))
-    shared = counts.where((F.col("c") < FREQUENT) | (_level("c") < least)).select(F.col("token").alias("sig")).union(special.select("sig")).distinct()
-    members = checkpoint(low.join(shared, "sig", "left_semi").union(special).distinct())
+    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n", "plain")
+    shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = checkpoint(keys.join(shared, "sig"))
 
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
-    budget, round_ = pairs_per_row * members.count() + 1_000_000, 0
-    while True:
-        known = members.join(comps, "node") if round_ else members.withColumn("comp", F.col("node"))
+
+    def merged(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``comps`` after the pairs (a, b, _na, _nb) are compared."""
+        pairs = checkpoint(_pairs_where(pairs.where(_near_sizes("_na", "_nb", rule)).select("a", "b").distinct(), nodes, "low", _may_link(rule)))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        links = checkpoint(_pairs_where(pairs, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
+        if links.isEmpty():
+            return comps
+        tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
+        links = links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b").distinct()
+        new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+        return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
+
+    # keys of many sets: a pivot at a time, until few pairs of different components are left
+    hot = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n")
+    for round_ in range(8):
+        known = hot.join(comps, "node")
         sizes = known.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
         by_key = sizes.groupBy("sig").agg(F.max_by("comp", "c").alias("_major"), F.max("c").alias("_most"), F.sum("c").alias("_all")).where("_all > _most")
         open_ = checkpoint(known.join(by_key, "sig"))
-        left = open_.groupBy("sig").agg(F.max(F.col("_all") * (F.col("_all") - F.col("_most"))).alias("p")).agg(F.sum("p")).first()[0]
-        if not left:
+        rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
+        if not rows_left:
             break
-        last = round_ >= 1 and left <= budget or round_ >= 6
+        last = pairs_left <= pairs_per_row * rows_left + 200_000 or round_ == 7
         if last:
             minor = open_.where("comp <> _major").select("sig", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
             other = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), (F.col("comp") == F.col("_major")).alias("_in_major"))
             pairs = minor.join(other, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b"))))
         else:
-            pivot = open_.groupBy("sig").agg(F.min_by("node", F.xxhash64("node", F.lit(round_))).alias("b"))
-            pivots = open_.join(pivot, "sig")
-            sizes_of = nodes.select(F.col("node").alias("b"), F.col("n").alias("_nb"))
-            pairs = pivots.where("node <> b").select(F.col("node").alias("a"), "b", F.col("n").alias("_na"), F.col("comp").alias("_ca")).join(sizes_of, "b")
-            if round_:
-                pairs = pairs.join(comps.select(F.col("node").alias("b"), F.col("comp").alias("_cb")), "b").where("_ca <> _cb")
-        pairs = pairs.where(_near_sizes("_na", "_nb", rule)).select("a", "b").distinct()
-        pairs = checkpoint(_pairs_where(pairs, nodes, "low", _may_link(rule)))
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule)
-        links = checkpoint(_pairs_where(pairs, sets, "tokens", _links(rule)).distinct())
-        if not links.isEmpty():
-            if round_:
-                tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
-                links = links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).distinct()
-            merged = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-            comps = checkpoint(comps.join(merged, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
-        round_ += 1
+            first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
+            pairs = open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb"))
+        comps = merged(comps, pairs)
         if last:
             break
 
+    # keys of few sets: all pairs; of sets with rare keys only, linked ones share many
+    side = lambda k: members.where(F.col("c") < FREQUENT).join(comps, "node").select("sig", F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"), F.col("plain").alias(f"_p{k}"))
+    both = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", rule))
+    common = F.ceil(rule.percent * (F.col("_na") + F.col("_nb")) / (100 + rule.percent))
+    least = lambda k: F.when(F.col(f"_p{k}"), common - F.ceil(rule.percent * F.col(f"_n{k}") / 100) + 1).otherwise(1)
+    pairs = both.groupBy("a", "b", "_na", "_nb", "_pa", "_pb").agg(F.count(F.lit(1)).alias("_shared")).where(F.col("_shared") >= F.least(least("a"), least("b")))
+    comps = merged(comps, pairs)
+
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "comp").select("key", "component_id")
