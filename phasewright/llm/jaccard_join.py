@@ -188,7 +188,7 @@ def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.nd
     return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 16) -> DataFrame:
     """Shingle count and component of every document.
 
     Equal sets are one node. Keys made by ``signatures`` find candidates; a pair
@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
         rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
         if not rows_left:
             break
-        last = pairs_left <= pairs_per_row * rows_left + 200_000 or round_ == 7
+        last = pairs_left <= pairs_per_row * rows_left + 1_000_000 or round_ == 7
         if last:
             minor = open_.where("comp <> _major").select("sig", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
             other = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), (F.col("comp") == F.col("_major")).alias("_in_major"))

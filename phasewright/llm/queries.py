@@ -14,6 +14,7 @@ from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
 from .token_counts import op2_token_counts
+from .topk import OP5_SQL, op5_exact_top_k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_counts": op2_token_counts,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
+        "op5_exact_top_k": op5_exact_top_k,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
@@ -31,5 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
     }
