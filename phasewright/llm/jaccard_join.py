@@ -98,13 +98,13 @@ def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, rule: Rule) ->
 
 
 def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n, key, low) of every document; the key stands for the whole set."""
+    """(doc_id, h, n, key, low) of every document; the key stands for the whole set."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
         sets = [shingles(t, rule.words) for t in x["_text"]]
-        return {"doc_id": x["_id"], "n": list(map(len, sets)), "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "low": [low_part(s, rule) for s in sets]}
+        return {"doc_id": x["_id"], "h": x["_h"], "n": list(map(len, sets)), "key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "low": [low_part(s, rule) for s in sets]}
 
-    return map_texts(docs, ["_id", "_text"], "doc_id long, n long, key binary, low array<long>", work)
+    return map_texts(docs, ["_id", "_h", "_text"], "doc_id long, h long, n long, key binary, low array<long>", work)
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -206,7 +206,33 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
     one node and are returned each. An empty table gives no rows; other columns
     are not read.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    return _component_rows(docs, rule, id_col, text_col, pairs_per_row).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents less all but one of each component of near-duplicates, with all their columns.
+
+    The document of the smallest id stays; of texts that share this id, the one
+    of the least hash; of rows repeated whole, one. Documents without shingles
+    stay, and so do components in which no document has an id.
+    """
+    rows = _component_rows(docs, rule, id_col, text_col, 16).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
+    rows = checkpoint(rows)
+    stays = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("h").alias("_stays"), F.count(F.lit(1)).alias("_c"))
+    judged = rows.join(stays, "component_id").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("_stays")))
+    gone = judged.where(~F.col("_kept")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
+    twice = judged.where(F.col("_kept")).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_h"))
+    left = docs.join(small_side(checkpoint(gone)), same, "left_anti")
+    twice = checkpoint(twice)
+    if twice.isEmpty():
+        return left
+    return left.join(small_side(twice), same, "left_anti").unionByName(left.join(small_side(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pairs_per_row: int) -> DataFrame:
+    """(doc_id, h, n_shingles, component_id) of every row; h is the text's hash."""
+    docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
     rows = checkpoint(_shingled(docs, rule))
     ids = rows.where("n > 0").groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
     classes = ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.coalesce(F.min_by("c", "doc_id"), F.lit(2)).alias("copies"))
@@ -279,8 +305,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = grouped.join(least, "comp").select("key", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
-    return out.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("key"))
+    return out.join(named, "key", "left").select("doc_id", "h", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from .licenses import op9_license_scan
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op3_best_fit_packing
 from .quality import op1_quality_classifier
+from .substring_dedup import op7_substring_dedup
 from .token_counts import op2_token_counts
 from .topk import OP5_SQL, op5_exact_top_k
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_benchmark_decontamination": op4_benchmark_decontamination,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_html_extraction": op10_html_extraction,
