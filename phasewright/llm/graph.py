@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     every round is checkpointed.
     """
     both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "other").distinct())
-    labels = checkpoint(both.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("comp")))
+    labels = both.groupBy("node").agg(F.min("other").alias("_m")).select("node", F.least("node", "_m").alias("comp"))
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), "comp"), "other").groupBy("node").agg(F.min("comp").alias("_near"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("_old"), F.least("comp", "_near").alias("_c"))

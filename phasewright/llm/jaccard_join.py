@@ -184,8 +184,8 @@ def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.nd
         if total > MOST_FREQUENT:
             break
         least = level
-    found = [] if least is None else [r["token"] for r in counts.where(F.col("level") >= least).select("token").collect()]
-    return np.unique(np.concatenate([np.array(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
+    found = [] if least is None else counts.where(F.col("level") >= least).select("token").toArrow().column(0).to_numpy()
+    return np.unique(np.concatenate([np.asarray(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 16) -> DataFrame:
@@ -273,7 +273,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
 
     # keys of many sets: a pivot at a time, until few pairs of different components are left
-    hot = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n")
+    hot, pairs = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n"), None
     for round_ in range(8):
         known = hot.join(comps, "node")
         sizes = known.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -282,25 +282,21 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
         if not rows_left:
             break
-        last = pairs_left <= pairs_per_row * rows_left + 1_000_000 or round_ == 7
-        if last:
+        if pairs_left <= pairs_per_row * rows_left + 1_000_000 or round_ == 7:
             minor = open_.where("comp <> _major").select("sig", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
             other = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), (F.col("comp") == F.col("_major")).alias("_in_major"))
-            pairs = minor.join(other, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b"))))
-        else:
-            first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
-            pairs = open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb"))
-        comps = merged(comps, pairs)
-        if last:
+            pairs = minor.join(other, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b")))).select("a", "b", "_na", "_nb")
             break
+        first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
+        comps = merged(comps, open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb")))
 
     # keys of few sets: all pairs; of sets with rare keys only, linked ones share many
     side = lambda k: members.where(F.col("c") < FREQUENT).join(comps, "node").select("sig", F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"), F.col("plain").alias(f"_p{k}"))
     both = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", rule))
     common = F.ceil(rule.percent * (F.col("_na") + F.col("_nb")) / (100 + rule.percent))
     least = lambda k: F.when(F.col(f"_p{k}"), common - F.ceil(rule.percent * F.col(f"_n{k}") / 100) + 1).otherwise(1)
-    pairs = both.groupBy("a", "b", "_na", "_nb", "_pa", "_pb").agg(F.count(F.lit(1)).alias("_shared")).where(F.col("_shared") >= F.least(least("a"), least("b")))
-    comps = merged(comps, pairs)
+    few = both.groupBy("a", "b", "_na", "_nb", "_pa", "_pb").agg(F.count(F.lit(1)).alias("_shared")).where(F.col("_shared") >= F.least(least("a"), least("b"))).select("a", "b", "_na", "_nb")
+    comps = merged(comps, few if pairs is None else few.union(pairs))
 
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
