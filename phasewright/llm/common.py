@@ -34,8 +34,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, most_rows: int = 400_000) -> DataFrame:
-    """``df`` marked for a broadcast if it is counted to be small; else as it is, and joins shuffle it."""
+def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df``, of a few short columns, marked for a broadcast if it is counted to be small; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most_rows else df
 
 

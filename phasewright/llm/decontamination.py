@@ -118,7 +118,7 @@ def _of_length(base: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
     starts = F.array_distinct(F.flatten(F.transform(dense, lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))))
     places = checkpoint(runs.select("doc_id", "text_hash", "w", "m", F.explode(starts).alias("start")))
     by_doc = places.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list(F.struct("w", "m", "start")).alias("_at"))
-    again = base.join(small_side(by_doc), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    again = base.join(small_side(by_doc, 50_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
     again = again.select("doc_id", "text_hash", "_at", shingles_of(words_of(F.col("_text")), k).alias("toks"))
     cut = again.select("doc_id", "text_hash", "toks", F.explode("_at").alias("_a")).select("doc_id", "text_hash", "_a.w", "_a.start", F.slice("toks", F.col("_a.start") + 1, F.col("_a.m")).alias("toks"))
     windows = checkpoint(cut.withColumn("win", F.monotonically_increasing_id()))
