@@ -31,7 +31,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
-    return df.checkpoint(eager=True)
+    # rows of long arrays go to Python in small batches meanwhile
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 500) if int(before) > 0 else 500))
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
@@ -52,11 +59,14 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            part = out = None
             # long texts make wide batches: a slice bounds what is decoded at once
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 out = work({c: part.column(i).to_pylist() for i, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
+            del batch, part, out
+            pa.default_memory_pool().release_unused()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -6,6 +6,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import map_texts, table, utf8
@@ -191,11 +192,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, thr
     """The documents whose score reaches the threshold, with all their columns."""
     model = train(docs, labels, max_rows=max_rows, id_col=id_col, text_col=text_col)
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores(statistics(texts.tolist())))
+    @F.arrow_udf("double")
+    def scores(texts: pa.Array) -> pa.Array:
+        parts = [texts.slice(at, 500).to_pylist() for at in range(0, len(texts), 500)]
+        return pa.array(np.concatenate([model.scores(statistics(p)) for p in parts]) if parts else [], pa.float64())
 
     return docs.where(scores(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
 

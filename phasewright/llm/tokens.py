@@ -19,7 +19,7 @@ _BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s
 _WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Longer pre-tokens are merged each time and not kept.
 _LONGEST_KEPT = 64
-_MOST_KEPT = 400_000
+_MOST_KEPT = 120_000
 
 
 @lru_cache(1)
@@ -42,9 +42,8 @@ class _Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.file = json.load(f)
-        self.added = {t["content"]: t["id"] for t in self.file["added_tokens"]}
+        self.path = path
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.merge = self.tokenizer.model.tokenize
 
@@ -67,7 +66,9 @@ class _Counts(dict):
         self.library = library
         letters = {c: b for b, c in enumerate(byte_letters())}
         whole = {}
-        for token in library.file["model"]["vocab"]:
+        with open(library.path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        for token in vocabulary:
             if all(c in letters for c in token) and len(library.merge(token)) == 1:
                 try:
                     whole[bytes(letters[c] for c in token).decode("utf-8")] = 1
