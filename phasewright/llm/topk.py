@@ -81,27 +81,38 @@ def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis
     cr, qr = cq @ basis, qq @ basis
     c_rest, q_rest = (np.sqrt(np.maximum(0, (x[:, head:] ** 2).sum(axis=1))) for x in (cr, qr))
     best_s, best_i = [np.empty(0, np.int64)] * len(qids), [np.empty(0, np.int64)] * len(qids)
+    whole = max(np.abs(cq).max(initial=0) * np.abs(qq).max(initial=0), 1) * size < _EXACT  # products of doubles are exact
     for at in range(0, len(ids), step):
         here = slice(at, at + step)
         slack = 1e-9 * qnorms * norms[at] + 1e-6
         alive = np.flatnonzero(qnorms * norms[at] + slack >= kth)
         if not len(alive):
             break
-        bound = qr[alive, :head] @ cr[here, :head].T + q_rest[alive, None] * c_rest[None, here] + slack[alive, None]
-        rows, cols = np.nonzero((bound >= kth[alive, None]) & (ids[None, here] != qids[alive, None]))
-        for a in range(0, len(rows), 200_000):
-            r, z = alive[rows[a : a + 200_000]], cols[a : a + 200_000] + at
-            scores = _whole_products(qq[r], cq[z])
-            cut = np.flatnonzero(np.diff(r)) + 1
-            for part in np.split(np.arange(len(r)), cut):
-                if not len(part):
-                    continue
-                q = r[part[0]]
-                s, i = np.concatenate((best_s[q], scores[part])), np.concatenate((best_i[q], ids[z[part]]))
-                order = np.lexsort((i, -s))[:k]
-                best_s[q], best_i[q] = s[order], i[order]
-                if len(order) == k:
-                    kth[q] = max(kth[q], float(best_s[q][-1]))
+        other = ids[None, here] != qids[alive, None]
+        near = other & (qr[alive, :head] @ cr[here, :head].T + q_rest[alive, None] * c_rest[None, here] + slack[alive, None] >= kth[alive, None])
+        some = np.flatnonzero(near.any(axis=1))
+        if not len(some):
+            continue
+        alive, near = alive[some], near[some]
+        if whole and near.mean() > 0.005:
+            # many pairs are left: one product of matrices, then only scores that reach the k-th best
+            scores = np.where(near, qq[alive] @ cq[here].T, -np.inf)
+            reach = np.maximum(kth[alive], np.partition(scores, -k, axis=1)[:, -k]) if scores.shape[1] > k else kth[alive]
+            rows, cols = np.nonzero(near & (scores >= reach[:, None]))
+            scores = np.rint(scores[rows, cols]).astype(np.int64)
+        else:
+            rows, cols = np.nonzero(near)
+            scores = np.concatenate([_whole_products(qq[alive[rows[i : i + 200_000]]], cq[at + cols[i : i + 200_000]]) for i in range(0, len(rows), 200_000)])
+        if not len(rows):
+            continue
+        edges = np.flatnonzero(np.diff(rows, prepend=-1))
+        for first, last in zip(edges, [*edges[1:], len(rows)], strict=True):
+            q = alive[rows[first]]
+            s, i = np.concatenate((best_s[q], scores[first:last])), np.concatenate((best_i[q], ids[at + cols[first:last]]))
+            order = np.lexsort((i, -s))[:k]
+            best_s[q], best_i[q] = s[order], i[order]
+            if len(order) == k:
+                kth[q] = max(kth[q], float(best_s[q][-1]))
     counts = [len(x) for x in best_s]
     return pd.DataFrame({"query_id": np.repeat(qids, counts), "vec_id": np.concatenate([*best_i, np.empty(0, np.int64)]).astype(np.int64), "score": np.concatenate([*best_s, np.empty(0, np.int64)]).astype(np.int64)})
 
