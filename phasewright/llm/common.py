@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -46,6 +47,24 @@ def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let batches to Python hold at most ``rows`` rows from now on: a row here is a whole text.
+
+    Only the size of batches changes, never a result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
@@ -67,7 +86,9 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
             del batch, part, out
             pa.default_memory_pool().release_unused()
+        _trim()
 
+    text_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 

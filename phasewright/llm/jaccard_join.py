@@ -107,17 +107,27 @@ def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
     return map_texts(docs, ["_id", "_h", "_text"], "doc_id long, h long, n long, key binary, low array<long>", work)
 
 
-def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, n, tokens) of the given nodes, cut anew from one text of each."""
+def _signed(nodes: list, sizes: list, tokens: list[np.ndarray], frequent: np.ndarray, rule: Rule) -> dict[str, list]:
+    keys = [signatures(t, n, frequent, rule) for t, n in zip(tokens, sizes, strict=True)]
+    plain = [k is not None and n > RANGES[0][1] and len(np.intersect1d(k, t)) == rule.spare(n) + 1 == len(k) for k, t, n in zip(keys, tokens, sizes, strict=True)]
+    return {"node": nodes, "n": sizes, "sigs": keys, "plain": plain}
+
+
+_SIGNED = "node long, n long, sigs array<long>, plain boolean"
+
+
+def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, frequent: np.ndarray | None = None) -> DataFrame:
+    """(node, n, tokens) of the given nodes, cut anew from one text of each; with ``frequent`` their keys instead."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
         sets = [shingles(t, rule.words) for t in x["_text"]]
         same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == k for s, k in zip(sets, x["key"], strict=True)]
-        return {c: [v for v, ok in zip(values, same, strict=True) if ok] for c, values in (("node", x["node"]), ("n", list(map(len, sets))), ("tokens", sets))}
+        node, n, sets = ([v for v, ok in zip(values, same, strict=True) if ok] for values in (x["node"], list(map(len, sets)), sets))
+        return {"node": node, "n": n, "tokens": sets} if frequent is None else _signed(node, n, sets, frequent, rule)
 
     def cut(wanted: DataFrame) -> DataFrame:
         chosen = docs.join(small_side(wanted.select("rep", "node", "key")), F.col("_id").eqNullSafe(F.col("rep"))).select("node", "key", "_text")
-        return map_texts(chosen, ["node", "key", "_text"], "node long, n long, tokens array<long>", work)
+        return map_texts(chosen, ["node", "key", "_text"], "node long, n long, tokens array<long>" if frequent is None else _SIGNED, work)
 
     repeated = nodes.where("copies > 1")
     once = cut(nodes.where("copies = 1"))
@@ -128,11 +138,9 @@ def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Ru
     """(node, n, sigs, plain) with the keys of each set, null for a set that lacks tokens; plain if all keys are rare tokens."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
-        keys = [signatures(np.array(t, np.int64), n, frequent, rule) for t, n in zip(x[tokens], x["n"], strict=True)]
-        plain = [k is not None and n > RANGES[0][1] and len(np.intersect1d(k, t)) == rule.spare(n) + 1 == len(k) for k, t, n in zip(keys, x[tokens], x["n"], strict=True)]
-        return {"node": x["node"], "n": x["n"], "sigs": keys, "plain": plain}
+        return _signed(x["node"], x["n"], [np.array(t, np.int64) for t in x[tokens]], frequent, rule)
 
-    return map_texts(sets, ["node", "n", tokens], "node long, n long, sigs array<long>, plain boolean", work)
+    return map_texts(sets, ["node", "n", tokens], _SIGNED, work)
 
 
 def _pairs_where(pairs: DataFrame, sets: DataFrame, column: str, test) -> DataFrame:
@@ -252,7 +260,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
             frequent = more
             keyed = checkpoint(_signature_rows(nodes, "low", frequent, rule))
             lacking = keyed.where("sigs is null").select("node")
-        whole = _signature_rows(_whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule), "tokens", frequent, rule)
+        whole = _whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule, frequent)
         keyed = keyed.where("sigs is not null").unionByName(checkpoint(whole))
     keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n", "plain")
     shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")

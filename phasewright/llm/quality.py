@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import map_texts, table, utf8
+from .common import map_texts, table, text_batches, utf8
 
 #: Byte classes, each a set of byte values; bytes from 128 on are letters of other alphabets.
 _CLASSES = {
@@ -197,6 +197,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, thr
         parts = [texts.slice(at, 500).to_pylist() for at in range(0, len(texts), 500)]
         return pa.array(np.concatenate([model.scores(statistics(p)) for p in parts]) if parts else [], pa.float64())
 
+    text_batches(docs.sparkSession)
     return docs.where(scores(F.coalesce(F.col(text_col), F.lit(""))) >= threshold)
 
 
