@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import counts_per_million, depth_class, presence, reads_per_kilobase
 from ..operators import cells, intervals, maps, phasing, sequences
+from ..operators.lineage import checkpoint
 
 
 @dataclass
 class Phased:
-    """What phasing the markers of all cells gives; every field is lazy."""
+    """What phasing the markers of all cells gives; what follows from the haplotypes is lazy."""
 
     haplotypes: DataFrame
     symbols: DataFrame
@@ -27,13 +28,15 @@ class Phased:
 def phase_markers(markers: DataFrame, cell_ids: DataFrame, counts: DataFrame, sizes: DataFrame, *, correct: bool = True, min_score: float = 0.64) -> Phased:
     """Markers (contig, pos, ref, alt) and base counts by cell to haplotypes, cell regions, gates and edges."""
     known = phasing.indexed(phasing.exploded_markers(markers).dropDuplicates(["contig", "pos"]))
-    bases = phasing.called(known, cell_ids, counts).join(known.select("contig", "pos", "idx"), ["contig", "pos"])
+    known = checkpoint(known)
+    # every step below reads all calls again, and the haplotypes of the step before
+    bases = checkpoint(phasing.called(known, cell_ids, counts).join(known.select("contig", "pos", "idx"), ["contig", "pos"]))
     if correct:
-        phase = phasing.dimer_phase(bases).select("contig", "idx", "mat", "pat")
+        phase = checkpoint(phasing.dimer_phase(bases).select("contig", "idx", "mat", "pat"))
         members = phasing.clusters(phasing.symbols(bases, phase))
-        phase = phasing.consensus(bases, phase, members)
+        phase = checkpoint(phasing.consensus(bases, phase, members))
         seq = phasing.symbols(bases, phase)
-        phase = phasing.count_corrected(seq, phase, phasing.clusters(seq))
+        phase = checkpoint(phasing.count_corrected(seq, phase, phasing.clusters(seq)))
     else:
         phase = known.select("contig", "idx", F.col("ref").alias("mat"), F.col("alt").alias("pat"))
     seq = phasing.symbols(bases, phase)
