@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import checkpoint, map_texts, mix, small_side, table, utf8, word_grams
 from .graph import components
@@ -109,11 +109,10 @@ def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _signed(nodes: list, sizes: list, tokens: list[np.ndarray], frequent: np.ndarray, rule: Rule) -> dict[str, list]:
     keys = [signatures(t, n, frequent, rule) for t, n in zip(tokens, sizes, strict=True)]
-    plain = [k is not None and n > RANGES[0][1] and len(np.intersect1d(k, t)) == rule.spare(n) + 1 == len(k) for k, t, n in zip(keys, tokens, sizes, strict=True)]
-    return {"node": nodes, "n": sizes, "sigs": keys, "plain": plain}
+    return {"node": nodes, "n": sizes, "sigs": keys}
 
 
-_SIGNED = "node long, n long, sigs array<long>, plain boolean"
+_SIGNED = "node long, n long, sigs array<long>"
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, frequent: np.ndarray | None = None) -> DataFrame:
@@ -135,7 +134,7 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, frequent: np.ndar
 
 
 def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Rule) -> DataFrame:
-    """(node, n, sigs, plain) with the keys of each set, null for a set that lacks tokens; plain if all keys are rare tokens."""
+    """(node, n, sigs) with the keys of each set, null for a set that lacks tokens."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
         return _signed(x["node"], x["n"], [np.array(t, np.int64) for t in x[tokens]], frequent, rule)
@@ -262,9 +261,11 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
             lacking = keyed.where("sigs is null").select("node")
         whole = _whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule, frequent)
         keyed = keyed.where("sigs is not null").unionByName(checkpoint(whole))
-    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n", "plain")
+    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n")
     shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    members = checkpoint(keys.join(shared, "sig"))
+    # s: how many keys of its set come at or after a key, the rarest first
+    later = W.partitionBy("node").orderBy(F.col("c").desc(), F.col("sig").desc())
+    members = checkpoint(keys.join(shared, "sig").withColumn("s", F.row_number().over(later)))
 
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
 
@@ -280,31 +281,37 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
         return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
 
-    # keys of many sets: a pivot at a time, until few pairs of different components are left
-    hot, pairs = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n"), None
-    for round_ in range(8):
-        known = hot.join(comps, "node")
+    # keys of many sets: a pivot at a time merges groups of near copies, whose sets share most keys
+    many = members.where(F.col("c") >= FREQUENT)
+    likely = many.where(F.col("s") >= F.greatest(F.lit(2), F.floor(F.col("n") * (100 - rule.percent) / 400)))
+
+    def open_keys(rows: DataFrame) -> DataFrame:
+        """Rows with their component whose key is in several, with the largest one's number of sets."""
+        known = rows.join(comps, "node")
         sizes = known.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
         by_key = sizes.groupBy("sig").agg(F.max_by("comp", "c").alias("_major"), F.max("c").alias("_most"), F.sum("c").alias("_all")).where("_all > _most")
-        open_ = checkpoint(known.join(by_key, "sig"))
+        return known.drop("c").join(by_key, "sig")
+
+    for round_ in range(4):
+        open_ = checkpoint(open_keys(likely.select("sig", "node", "n")))
         rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
-        if not rows_left:
-            break
-        if pairs_left <= pairs_per_row * rows_left + 1_000_000 or round_ == 7:
-            minor = open_.where("comp <> _major").select("sig", F.col("node").alias("a"), F.col("comp").alias("_ca"), F.col("n").alias("_na"))
-            other = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), (F.col("comp") == F.col("_major")).alias("_in_major"))
-            pairs = minor.join(other, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b")))).select("a", "b", "_na", "_nb")
+        if not rows_left or pairs_left <= pairs_per_row * rows_left + 1_000_000:
             break
         first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
         comps = merged(comps, open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb")))
 
-    # keys of few sets: all pairs; of sets with rare keys only, linked ones share many
-    side = lambda k: members.where(F.col("c") < FREQUENT).join(comps, "node").select("sig", F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"), F.col("plain").alias(f"_p{k}"))
-    both = side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", rule))
+    # then every pair of different components within a key. Linked sets share so many keys that at the first of
+    # them both have as many left
     common = F.ceil(rule.percent * (F.col("_na") + F.col("_nb")) / (100 + rule.percent))
-    least = lambda k: F.when(F.col(f"_p{k}"), common - F.ceil(rule.percent * F.col(f"_n{k}") / 100) + 1).otherwise(1)
-    few = both.groupBy("a", "b", "_na", "_nb", "_pa", "_pb").agg(F.count(F.lit(1)).alias("_shared")).where(F.col("_shared") >= F.least(least("a"), least("b"))).select("a", "b", "_na", "_nb")
-    comps = merged(comps, few if pairs is None else few.union(pairs))
+    enough = F.least("_sa", "_sb") > common - F.ceil(rule.percent * F.greatest("_na", "_nb") / 100)
+    side = lambda rows, k: rows.select("sig", F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"), F.col("s").alias(f"_s{k}"))
+    few = members.where(F.col("c") < FREQUENT).join(comps, "node")
+    pairs = side(few, "a").join(side(few, "b"), "sig").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & enough & _near_sizes("_na", "_nb", rule))
+    open_ = checkpoint(open_keys(many))
+    inner = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("s").alias("_sb"), (F.col("comp") == F.col("_major")).alias("_in_major"))
+    most = side(open_.where("comp <> _major"), "a").join(inner, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b"))) & enough & _near_sizes("_na", "_nb", rule))
+    columns = ["a", "b", "_na", "_nb"]
+    comps = merged(comps, pairs.select(columns).union(most.select(columns)))
 
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
