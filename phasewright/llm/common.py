@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, batch_rows: int = 500) -> DataFrame:
     """``df`` cut from its lineage, kept in the folder that the cluster names.
 
     ``spark.checkpoint.dir`` is a shared folder on a cluster. Only where nothing
@@ -32,10 +32,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
-    # rows of long arrays go to Python in small batches meanwhile
+    # rows of long arrays or texts go to Python in batches of ``batch_rows`` meanwhile
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 500) if int(before) > 0 else 500))
+    spark.conf.set(key, str(min(int(before), batch_rows) if int(before) > 0 else batch_rows))
     try:
         return df.checkpoint(eager=True)
     finally:
