@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, id_col
     return map_texts(docs, [id_col, text_col], "doc_id long, piece int, start long, length long, ids_crc32 long", work)
 
 
-def pack(cut: DataFrame, *, capacity: int = 2048, rows_per_bucket: int = 20_000) -> DataFrame:
+def pack(cut: DataFrame, *, capacity: int = 2048, rows_per_bucket: int = 2_000) -> DataFrame:
     """Give each piece a sequence and a place in it.
 
     Only the histogram of lengths (at most ``capacity`` rows) goes to the driver,

@@ -64,10 +64,10 @@ def _whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for u, v in zip(a, b, strict=True)], dtype=object).astype(np.int64)
 
 
-def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis: np.ndarray, step: int = 1024) -> pd.DataFrame:
+def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis: np.ndarray, cells: int = 2_000_000) -> pd.DataFrame:
     """The ``k`` best candidates of each query in one block; ``floor`` is a score already reached by k others.
 
-    Candidates go by descending length, ``step`` at a time. A query is done when
+    Candidates go by descending length, a few at a time (``cells`` pairs). A query is done when
     the product of lengths is under its k-th best score. The rest are bounded by
     the sum over the first rotated coordinates and the product of what is left of
     both lengths; only pairs whose bound reaches the k-th best are multiplied out.
@@ -81,6 +81,7 @@ def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis
     cr, qr = cq @ basis, qq @ basis
     c_rest, q_rest = (np.sqrt(np.maximum(0, (x[:, head:] ** 2).sum(axis=1))) for x in (cr, qr))
     best_s, best_i = [np.empty(0, np.int64)] * len(qids), [np.empty(0, np.int64)] * len(qids)
+    step = max(64, cells // max(1, len(qids)))
     whole = max(np.abs(cq).max(initial=0) * np.abs(qq).max(initial=0), 1) * size < _EXACT  # products of doubles are exact
     for at in range(0, len(ids), step):
         here = slice(at, at + step)
@@ -117,13 +118,13 @@ def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis
     return pd.DataFrame({"query_id": np.repeat(qids, counts), "vec_id": np.concatenate([*best_i, np.empty(0, np.int64)]).astype(np.int64), "score": np.concatenate([*best_s, np.empty(0, np.int64)]).astype(np.int64)})
 
 
-def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, group_rows: int = 4_096) -> DataFrame:
+def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, group_rows: int = 8_192, bands: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     other rows. Candidates are dealt into blocks of similar length, queries into
     groups. A first pass over the block of longest vectors gives each query a
-    score that ``k`` candidates reach; it is then sent only to blocks whose
+    score that ``k`` candidates reach; it is then sent only to bands whose
     longest vector could reach that score. Ties go to the smaller id.
 
     Vectors that ``quantised`` passes over take no part; vectors of several sizes
@@ -137,20 +138,17 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
     if not total:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     basis = rotation(rows, size)
-    # blocks by descending length: edges from a summary of all lengths, a full one is dealt on by a hash
-    blocks = max(1, math.ceil(total / block_rows))
-    edges = sorted(set(rows.select(F.percentile_approx("norm", [i / blocks for i in range(1, blocks)] or [0.5], 10_000)).first()[0]), reverse=True) if blocks > 1 else []
+    # bands of falling length, at most ``bands``; each is dealt into parts by a hash, so that equal lengths are no limit
+    count = min(bands, max(1, math.ceil(total / block_rows)))
+    edges = sorted(set(rows.select(F.percentile_approx("norm", [i / count for i in range(1, count)], 10_000)).first()[0]), reverse=True) if count > 1 else []
     band = F.lit(0)
     for e in edges:
         band = band + F.when(F.col("norm") < e, 1).otherwise(0)
     banded = rows.withColumn("band", band)
-    parts = {r["band"]: (r["n"], r["top"]) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()}
-    order = []  # (length of the longest vector, band, part), longest first
-    for b in sorted(parts):
-        order += [(parts[b][1], b, p) for p in range(max(1, math.ceil(parts[b][0] / block_rows)))]
-    split = F.create_map(*[F.lit(x) for b in sorted(parts) for x in (b, max(1, math.ceil(parts[b][0] / block_rows)))])
-    base = F.create_map(*[F.lit(x) for b in sorted(parts) for x in (b, next(i for i, o in enumerate(order) if o[1] == b))])
-    candidates = banded.withColumn("block", F.element_at(base, F.col("band")) + F.pmod(F.xxhash64("vec_id"), F.element_at(split, F.col("band")).cast("long")).cast("int"))
+    found = {r["band"]: (max(1, math.ceil(r["n"] / block_rows)), float(r["top"])) for r in banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()}
+    by_band = [found.get(i, (1, 0.0)) for i in range(len(edges) + 1)]
+    parts = F.array(*[F.lit(n) for n, _ in by_band])
+    candidates = banded.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.get(parts, F.col("band")).cast("long")).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0)
     queries = queries.groupBy("vec_id").agg(F.min(F.struct("q", "norm")).alias("_q")).select(F.col("vec_id").alias("qid"), "_q.q", "_q.norm")
     groups = max(1, math.ceil(total / every / group_rows))
@@ -160,7 +158,7 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
         def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             return best_in_block(left, right, k, basis)
 
-        return q.groupBy("grp", "block").cogroup(c.groupBy("grp", "block")).applyInPandas(work, schema)
+        return q.groupBy("grp", "band", "part").cogroup(c.groupBy("grp", "band", "part")).applyInPandas(work, schema)
 
     def best(found: DataFrame) -> DataFrame:
         # at most k rows from each block
@@ -168,14 +166,16 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
         return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
 
     every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
-    first = search(queries.select("qid", "q", "norm", F.lit(-math.inf).alias("floor"), "grp", F.lit(0).alias("block")), candidates.where("block = 0").select("vec_id", "q", "norm", every_group, "block"))
+    zero, head = F.lit(0), (F.col("band") == 0) & (F.col("part") == 0)
+    first = search(queries.select("qid", "q", "norm", F.lit(-math.inf).alias("floor"), "grp", zero.alias("band"), zero.alias("part")), candidates.where(head).select("vec_id", "q", "norm", every_group, "band", "part"))
     first = checkpoint(first)
     reached = best(first).select(F.col("query_id").alias("qid"), F.when(F.size("best") == k, -F.get("best", F.lit(k - 1)).s.cast("double")).otherwise(-math.inf).alias("floor"))
     rest = queries.join(reached, "qid", "left").withColumn("floor", F.coalesce("floor", F.lit(-math.inf)))
-    tops = F.array(*[F.lit(float(o[0])) for o in order[1:]]) if len(order) > 1 else F.array().cast("array<double>")
-    reach = F.size(F.filter(tops, lambda t: t * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("floor")))  # tops fall, so these are the first ones
-    sent = rest.withColumn("_n", reach).where("_n > 0").select("qid", "q", "norm", "floor", "grp", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("block"))
-    second = search(sent, candidates.where("block > 0").select("vec_id", "q", "norm", every_group, "block"))
+    tops = F.array(*[F.lit(t) for _, t in by_band])
+    reach = F.size(F.filter(tops, lambda t: t * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("floor")))  # lengths fall, so these are the first bands
+    sent = rest.withColumn("_n", reach).where("_n > 0").select("qid", "q", "norm", "floor", "grp", F.explode(F.sequence(zero, F.col("_n") - 1)).alias("band"))
+    sent = sent.select("*", F.explode(F.sequence(zero, F.get(parts, F.col("band")) - 1)).alias("part")).where(~head)
+    second = search(sent, candidates.where(~head).select("vec_id", "q", "norm", every_group, "band", "part"))
     out = best(first.unionByName(second)).select("query_id", F.posexplode("best").alias("_r", "_b"))
     return out.select("query_id", (F.col("_r") + 1).alias("rank"), F.col("_b.v").alias("vec_id"), (-F.col("_b.s")).alias("score"))
 
