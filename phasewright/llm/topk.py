@@ -156,6 +156,8 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
 
     def search(q: DataFrame, c: DataFrame) -> DataFrame:
         def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            if left.empty or right.empty:  # such a side comes without columns
+                return pd.DataFrame({c: np.empty(0, np.int64) for c in ("query_id", "vec_id", "score")})
             return best_in_block(left, right, k, basis)
 
         return q.groupBy("grp", "band", "part").cogroup(c.groupBy("grp", "band", "part")).applyInPandas(work, schema)
