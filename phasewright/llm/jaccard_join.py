@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import checkpoint, map_texts, mix, small_side, table, utf8, word_grams
-from .graph import components
+from .graph import ROWS_A_TASK, components
 
 #: A token of at least so many sets may count as frequent, ...
 FREQUENT = 24
@@ -268,6 +269,8 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
     members = checkpoint(keys.join(shared, "sig").withColumn("s", F.row_number().over(later)))
 
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
+    parts = max(6, math.ceil(comps.count() / ROWS_A_TASK))
+    comps = checkpoint(comps.coalesce(parts))
 
     def merged(comps: DataFrame, pairs: DataFrame) -> DataFrame:
         """``comps`` after the pairs (a, b, _na, _nb) are compared."""
@@ -279,7 +282,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
         links = links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b").distinct()
         new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-        return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
+        return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")).coalesce(parts))
 
     # keys of many sets: a pivot at a time merges groups of near copies, whose sets share most keys
     many = members.where(F.col("c") >= FREQUENT)
@@ -292,7 +295,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         by_key = sizes.groupBy("sig").agg(F.max_by("comp", "c").alias("_major"), F.max("c").alias("_most"), F.sum("c").alias("_all")).where("_all > _most")
         return known.drop("c").join(by_key, "sig")
 
-    for round_ in range(4):
+    for round_ in range(3):
         open_ = checkpoint(open_keys(likely.select("sig", "node", "n")))
         rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
         if not rows_left or pairs_left <= pairs_per_row * rows_left + 5_000_000:
