@@ -196,7 +196,7 @@ def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.nd
     return np.unique(np.concatenate([np.asarray(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 4) -> DataFrame:
     """Shingle count and component of every document.
 
     Equal sets are one node. Keys made by ``signatures`` find candidates; a pair
@@ -224,7 +224,7 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc
     of the least hash; of rows repeated whole, one. Documents without shingles
     stay, and so do components in which no document has an id.
     """
-    rows = _component_rows(docs, rule, id_col, text_col, 100).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
+    rows = _component_rows(docs, rule, id_col, text_col, 4).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
     rows = checkpoint(rows)
     stays = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("h").alias("_stays"), F.count(F.lit(1)).alias("_c"))
     judged = rows.join(stays, "component_id").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("_stays")))
@@ -295,11 +295,13 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         by_key = sizes.groupBy("sig").agg(F.max_by("comp", "c").alias("_major"), F.max("c").alias("_most"), F.sum("c").alias("_all")).where("_all > _most")
         return known.drop("c").join(by_key, "sig")
 
-    for round_ in range(3):
+    before = None
+    for round_ in range(6):
         open_ = checkpoint(open_keys(likely.select("sig", "node", "n")))
         rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
-        if not rows_left or pairs_left <= pairs_per_row * rows_left + 5_000_000:
-            break
+        if not rows_left or pairs_left <= pairs_per_row * rows_left + 250_000 or before and pairs_left > 0.7 * before:
+            break  # few pairs are left, or pivots don't link them
+        before = pairs_left
         first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
         comps = merged(comps, open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb")))
 
