@@ -78,10 +78,12 @@ def within_radius(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, start_word, n_words, distance, similarity) of passages like a benchmark item.
 
-    A window is as many words of a document as the item has. Weighted-shingle
+    A window is as many words of a document as the item has, or the whole document
+    if that is shorter. Weighted-shingle
     similarity is the sum of the smaller over the sum of the larger numbers of
     occurrences of each shingle. A window as similar as ``percent`` holds at
-    least ``2 m p / (100 + p)`` of the item's ``m`` shingles, so only windows with
+    least ``p (m + v) / (100 + p)`` of the item's ``m`` shingles, ``v`` being its
+    own, so only windows with
     that many shingles of items of their size are fingerprinted; pairs within
     the radius are found by blocks and verified exactly. A pair just at 0.8
     exceeds the radius with a chance under 0.0004, one at 0.85 under 0.00001.
@@ -109,8 +111,10 @@ def _of_length(base: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
     known = small_side(items.select(F.explode("toks").alias("_t"), "w").distinct(), 1_000_000)
     anchors = tokens.select("doc_id", "text_hash", F.size("toks").alias("n"), F.posexplode("toks").alias("at", "_t")).join(known, "_t")
     m = F.col("w") - (k - 1)
-    need = F.ceil(2 * percent * m / (100 + percent)).cast("int")
-    runs = anchors.groupBy("doc_id", "text_hash", "n", "w").agg(F.sort_array(F.collect_set("at")).alias("p")).withColumns({"m": m, "need": need}).where(F.size("p") >= F.col("need"))
+    # the shingles of a window: a document shorter than the item is one window as it is
+    v = F.least(m, F.col("n"))
+    need = F.ceil(percent * (m + v) / (100 + percent)).cast("int")
+    runs = anchors.groupBy("doc_id", "text_hash", "n", "w").agg(F.sort_array(F.collect_set("at")).alias("p")).withColumns({"m": v, "need": need}).where(F.size("p") >= F.col("need"))
     first = lambda i: F.get("p", i)
     dense = F.filter(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: first(i + F.col("need") - 1) - first(i) < F.col("m"))
     low = lambda i: F.greatest(F.lit(0), first(i) - (F.col("m") - F.col("need")))
@@ -129,8 +133,8 @@ def _of_length(base: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
     bags = small_side(bag(items, "item", "_ci"), 1_000_000)
     common = near.join(bag(windows.join(near.select("win").distinct(), "win", "left_semi"), "win", "_cw"), "win").join(bags, ["item", "_t"])
     common = common.groupBy("win", "item", "distance").agg(F.sum(F.least("_cw", "_ci")).alias("o"))
-    found = common.join(windows.select("win", "doc_id", "text_hash", "w", "start"), "win").where(F.col("o") * (100 + percent) >= 2 * percent * m)
-    found = found.select("doc_id", "text_hash", "item", F.struct((F.col("o") / (2 * m - F.col("o"))).alias("similarity"), (-F.col("start")).alias("_s"), "w", "distance").alias("_b"))
+    found = common.join(windows.select("win", "doc_id", "text_hash", "w", "start", F.size("toks").alias("v")), "win").where(F.col("o") * (100 + percent) >= percent * (m + F.col("v")))
+    found = found.select("doc_id", "text_hash", "item", F.struct((F.col("o") / (m + F.col("v") - F.col("o"))).alias("similarity"), (-F.col("start")).alias("_s"), (F.col("v") + (k - 1)).alias("w"), "distance").alias("_b"))
     best = found.groupBy("doc_id", "text_hash", "item").agg(F.max("_b").alias("_b")).join(small_side(items.select("item", "item_id")), "item")
     return best.select("doc_id", "text_hash", "item_id", (-F.col("_b._s")).alias("start_word"), F.col("_b.w").alias("n_words"), F.col("_b.distance").alias("distance"), F.col("_b.similarity").alias("similarity"))
 

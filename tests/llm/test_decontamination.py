@@ -79,3 +79,24 @@ def test_every_fingerprint_within_the_radius(spark):
     right = spark.createDataFrame([(i, 7, to_long(x)) for i, x in enumerate(base)], "item long, w int, fp long")
     want = {(i, j, (x ^ b).bit_count()) for i, x in enumerate(near) for j, b in enumerate(base) if (x ^ b).bit_count() <= RADIUS}
     assert {tuple(x) for x in within_radius(left, right, ["w"]).collect()} == want
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(3)
+    some = lambda n: ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    long, short = some(60), some(7)
+    docs = [(1, " ".join(long[:-1])), (2, " ".join(long[4:-3])), (3, " ".join(long[:40])), (4, " ".join(short[:6])), (5, " ".join(long[:30] + long[31:])), (6, " ".join(long[:3]))]
+    table = spark.createDataFrame([(*x, "x", 1) for x in docs], DOCS)
+    bench = spark.createDataFrame([(0, " ".join(long), "x"), (1, " ".join(short), "x")], ITEMS)
+    want = {}
+    for d, t in docs:
+        for i, x in ((0, long), (1, short)):
+            words = t.split()
+            have, item = bags(words, 5, len(words), 0), bags(x, 5, len(x), 0)
+            share = sum((have & item).values()) / sum((have | item).values())
+            if share >= 0.8:
+                want[d, i] = (0, len(words), round(share, 9))
+    assert {(1, 0), (2, 0), (5, 0)} <= want.keys()
+    got = {(g.doc_id, g.item_id): (g.start_word, g.n_words, round(g.similarity, 9)) for g in contaminated(table, bench).collect()}
+    assert got == want
+    assert {g.doc_id for g in drop_contaminated(table, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
