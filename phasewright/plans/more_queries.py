@@ -97,6 +97,14 @@ def _gmap(spark, d):
     return p.select((F.col("contig") % 10).alias("group_id"), F.expr("contig div 2").alias("contig"), F.col("contig").alias("ord"), F.when(F.col("contig") % 2 == 0, "left").otherwise("right").alias("side"), F.substring(F.concat("pattern", F.lit("UUUUUU")), 1, 6).alias("pattern"))
 
 
+def _whole_gmap(spark, d):
+    """The map of ``_gmap`` with whole patterns, filled to the longest; the SQL of other map queries holds their six symbols."""
+    p = _patterns(spark, d)
+    longest = F.broadcast(p.agg(F.max(F.length("pattern")).alias("_n")))
+    whole = p.crossJoin(longest).select("contig", F.rpad("pattern", F.col("_n"), F.lit("U")).alias("pattern"))
+    return whole.select((F.col("contig") % 10).alias("group_id"), F.expr("contig div 2").alias("contig"), F.col("contig").alias("ord"), F.when(F.col("contig") % 2 == 0, "left").otherwise("right").alias("side"), "pattern")
+
+
 @_query(f"""WITH {_MAP_SQL}, n AS (SELECT *, lead(contig) OVER w AS next_contig, lead(pattern) OVER w AS next_pattern FROM gm WINDOW w AS (PARTITION BY group_id ORDER BY ord)) SELECT * FROM n WHERE contig <> next_contig""")
 def map_slots(spark, d):
     """Places between markers of different contigs."""
@@ -225,22 +233,22 @@ def dimer_phases(spark, d):
 @_query()
 def best_map_slots(spark, d):
     """The best slot of each marker, in either phase."""
-    g = _gmap(spark, d).where("ord < 400")
-    m = g.where("ord % 40 = 0").select(F.col("ord").alias("marker"), F.col("pattern").alias("marker_pattern"))
+    g = _whole_gmap(spark, d)
+    m = g.select(F.col("ord").alias("marker"), F.col("pattern").alias("marker_pattern"))
     return maps.best_slots(m, maps.slots(g))
 
 
 @_query()
 def completed_maps(spark, d):
     """Gates put into their maps one after the other."""
-    g = _gmap(spark, d).where("ord < 600").select(F.col("group_id").cast("string").alias("group_id"), F.col("ord").cast("int").alias("ord"), F.col("contig").cast("string").alias("contig"), "side", "pattern")
+    g = _whole_gmap(spark, d).select(F.col("group_id").cast("string").alias("group_id"), F.col("ord").cast("int").alias("ord"), F.col("contig").cast("string").alias("contig"), "side", "pattern")
     return maps.completed_map(g.where("ord % 4 <> 0"), g.where("ord % 4 = 0").drop("ord"))
 
 
 @_query()
 def routed_reads(spark, d):
     """Routes of alignments."""
-    o = _t(spark, d, "orders").where("o_orderkey < 2000")
+    o = _t(spark, d, "orders")
     a = o.select(F.col("o_orderkey").alias("aln_id"), F.col("o_custkey").cast("string").alias("qname"), F.lit(0).alias("flag"), (F.col("o_custkey") % 5).cast("string").alias("rname"), (F.col("o_orderkey") % 100 + 1).cast("long").alias("pos"), F.lit("12M").alias("cigar"), F.translate(F.rpad(F.lower(F.concat("o_orderstatus", "o_orderpriority")), 12, "x"), "fopx", "MMPP").alias("seq"))
     m = spark.range(1, 120).select(F.explode(F.array(*[F.lit(str(k)) for k in range(5)])).alias("contig"), F.col("id").alias("pos"), F.lit("M").alias("mat"), F.lit("P").alias("pat"))
     regions = m.where("pos = 1").select("contig", F.lit(1).cast("long").alias("start"), F.lit(900).cast("long").alias("end"), F.lit("hap_low").alias("klass"), F.lit("P").alias("geno"))
