@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -110,10 +111,12 @@ def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _signed(nodes: list, sizes: list, tokens: list[np.ndarray], frequent: np.ndarray, rule: Rule) -> dict[str, list]:
     keys = [signatures(t, n, frequent, rule) for t, n in zip(tokens, sizes, strict=True)]
-    return {"node": nodes, "n": sizes, "sigs": keys}
+    # how far a set is from the middle of its group: rare tokens among those that decide
+    rare = [int((~np.isin(t[: rule.spare(n) + 1], frequent)).sum()) / (rule.spare(n) + 1) for t, n in zip(tokens, sizes, strict=True)]
+    return {"node": nodes, "n": sizes, "sigs": keys, "rare": rare}
 
 
-_SIGNED = "node long, n long, sigs array<long>"
+_SIGNED = "node long, n long, sigs array<long>, rare double"
 
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, frequent: np.ndarray | None = None) -> DataFrame:
@@ -182,6 +185,62 @@ def _near_sizes(a: str, b: str, rule: Rule):
     return (F.col(a) * 100 >= F.col(b) * rule.percent) & (F.col(b) * 100 >= F.col(a) * rule.percent)
 
 
+@dataclass(frozen=True)
+class Beyond:
+    """What a set has beside a pivot, as far as links between sets of the pivot's group go."""
+
+    linked: bool  # to the pivot itself
+    shared: int  # tokens that are the pivot's too
+    place: int | None  # where the set stands by size if a link may rest on the pivot's tokens alone
+    reach: tuple[int, ...]  # places of the sets it may link with in that way, if it isn't linked to the pivot
+    keys: np.ndarray  # index keys among its other tokens
+
+
+def _place(n: int) -> int:
+    return int(math.log(n) * 50)
+
+
+def beyond(x: np.ndarray, pivot: np.ndarray, name: int, least: int, frequent: np.ndarray, rule: Rule) -> Beyond:
+    """Keys by which a set meets those it is linked to, once both are compared with one pivot.
+
+    Of the tokens that ``x`` has in common with a linked set, at most ``shared``
+    are the pivot's. A linked set has ``low`` tokens or more (``least`` is the
+    smallest size of the group), so at least ``common(n, low) - shared`` of them
+    are not. If that is above 0, two linked sets share a token among the first
+    few (rare before frequent, then by hash) of those that the pivot lacks. If
+    not, they may also share the pivot's tokens only; then each of them has
+    ``common(n, m)`` of these.
+    """
+    n = len(x)
+    own = pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] != x
+    other, shared = x[own], n - int(own.sum())
+    linked = 100 * shared >= rule.percent * len(pivot) + rule.percent * len(other)
+    low = max(-(-rule.percent * n // 100), least)
+    need = rule.common(n, low) - shared
+    hot = np.isin(other, frequent)
+    other = np.concatenate((other[~hot], other[hot]))[: max(0, len(other) - max(need, 1) + 1)]
+    keys = (mix(mix(other.astype(np.uint64)) ^ mix(np.array([name], np.uint64))) >> np.uint64(1)).astype(np.int64)
+    high = (100 + rule.percent) * shared // rule.percent - n
+    reach = tuple(range(_place(low), _place(high) + 1)) if need <= 0 and not linked and high >= low else ()
+    return Beyond(linked, shared, _place(n) if need <= 0 else None, reach, keys)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, frequent: np.ndarray, rule: Rule) -> DataFrame:
+    """(node, n, pivot, linked, shared, place, reach, keys) of the pairs (node, pivot)."""
+
+    def work(x: dict[str, list]) -> dict[str, object]:
+        found = [beyond(np.array(t, np.int64), np.array(p, np.int64), c, least, frequent, rule) for t, p, c, least in zip(x["tokens"], x["_tokens"], x["pivot"], x["least"], strict=True)]
+        return {"node": x["node"], "n": x["n"], "pivot": x["pivot"]} | {k: [getattr(f, k) for f in found] for k in ("linked", "shared", "place", "reach", "keys")}
+
+    groups = pairs.groupBy("pivot").agg(F.min("n").alias("least"))
+    known = pivots.select(F.col("node").alias("pivot"), F.col("tokens").alias("_tokens"), "n").join(groups, "pivot")
+    # at most 32 MB of pivots are sent to all
+    size = known.agg(F.count(F.lit(1)), F.sum("n")).first()
+    known = F.broadcast(known.drop("n")) if (size[0] or 0) * 16 + (size[1] or 0) * 8 <= 1 << 25 else known.drop("n")
+    rows = sets.join(small_side(pairs.select("node", "pivot")), "node").join(known, "pivot")
+    return map_texts(rows, ["node", "n", "pivot", "tokens", "_tokens", "least"], "node long, n long, pivot long, linked boolean, shared long, place long, reach array<long>, keys array<long>", work)
+
+
 def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.ndarray:
     """The tokens (token, c) of most sets, at most ``MOST_FREQUENT``, ascending."""
     counts = counts.where(F.col("c") >= FREQUENT).withColumn("level", F.floor(F.log2("c") * 8))
@@ -196,15 +255,17 @@ def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.nd
     return np.unique(np.concatenate([np.asarray(found, np.int64), have if have is not None else np.empty(0, np.int64)]))
 
 
-def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", pairs_per_row: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """Shingle count and component of every document.
 
     Equal sets are one node. Keys made by ``signatures`` find candidates; a pair
     is a link only after its whole sets are compared. The sets of a frequent key
-    are first compared with one pivot each; where sets of a key still are of
-    different components, other pivots follow, and at last every pair of
-    different components within a key is compared. So no link between different
-    components is lost, while a group of near copies costs a few pairs a set.
+    are compared with its middle set, the pivot, which gives each of them new keys
+    among the tokens that the pivot lacks (``beyond``); frequent new keys get
+    pivots of their own, for ``rounds`` rounds. Every pair of different components
+    within a key of few sets, or of one that is frequent after all rounds, is
+    compared. So no link between different components is lost, while a group of
+    near copies costs a few pairs a set.
     Pairs are compared by their tokens of least hash first, which may rule a link
     out; only the others' whole sets are cut again from their texts.
 
@@ -214,7 +275,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
     one node and are returned each. An empty table gives no rows; other columns
     are not read.
     """
-    return _component_rows(docs, rule, id_col, text_col, pairs_per_row).select("doc_id", "n_shingles", "component_id")
+    return _component_rows(docs, rule, id_col, text_col, rounds).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +285,7 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc
     of the least hash; of rows repeated whole, one. Documents without shingles
     stay, and so do components in which no document has an id.
     """
-    rows = _component_rows(docs, rule, id_col, text_col, 4).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
+    rows = _component_rows(docs, rule, id_col, text_col, 3).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
     rows = checkpoint(rows)
     stays = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("h").alias("_stays"), F.count(F.lit(1)).alias("_c"))
     judged = rows.join(stays, "component_id").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("_stays")))
@@ -238,7 +299,7 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc
     return left.join(small_side(twice), same, "left_anti").unionByName(left.join(small_side(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
 
 
-def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pairs_per_row: int) -> DataFrame:
+def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rounds: int) -> DataFrame:
     """(doc_id, h, n_shingles, component_id) of every row; h is the text's hash."""
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(text_col).alias("_text"))
     rows = checkpoint(_shingled(docs, rule))
@@ -262,7 +323,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
             lacking = keyed.where("sigs is null").select("node")
         whole = _whole_sets(docs, nodes.join(lacking, "node", "left_semi"), rule, frequent)
         keyed = keyed.where("sigs is not null").unionByName(checkpoint(whole))
-    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n")
+    keys = keyed.select(F.explode("sigs").alias("sig"), "node", "n", "rare")
     shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # s: how many keys of its set come at or after a key, the rarest first
     later = W.partitionBy("node").orderBy(F.col("c").desc(), F.col("sig").desc())
@@ -272,11 +333,8 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
     parts = max(6, math.ceil(comps.count() / ROWS_A_TASK))
     comps = checkpoint(comps.coalesce(parts))
 
-    def merged(comps: DataFrame, pairs: DataFrame) -> DataFrame:
-        """``comps`` after the pairs (a, b, _na, _nb) are compared."""
-        pairs = checkpoint(_pairs_where(pairs.where(_near_sizes("_na", "_nb", rule)).select("a", "b").distinct(), nodes, "low", _may_link(rule)))
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        links = checkpoint(_pairs_where(pairs, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """``comps`` after the links (a, b)."""
         if links.isEmpty():
             return comps
         tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
@@ -284,39 +342,51 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, pai
         new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
         return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")).coalesce(parts))
 
-    # keys of many sets: a pivot at a time merges groups of near copies, whose sets share most keys
-    many = members.where(F.col("c") >= FREQUENT)
-    likely = many.where(F.col("s") >= F.greatest(F.lit(2), F.floor(F.col("n") * (100 - rule.percent) / 400)))
-
     def open_keys(rows: DataFrame) -> DataFrame:
-        """Rows with their component whose key is in several, with the largest one's number of sets."""
+        """The rows whose key is in several components."""
         known = rows.join(comps, "node")
-        sizes = known.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("c"))
-        by_key = sizes.groupBy("sig").agg(F.max_by("comp", "c").alias("_major"), F.max("c").alias("_most"), F.sum("c").alias("_all")).where("_all > _most")
-        return known.drop("c").join(by_key, "sig")
-
-    before = None
-    for round_ in range(6):
-        open_ = checkpoint(open_keys(likely.select("sig", "node", "n")))
-        rows_left, pairs_left = open_.agg(F.count(F.lit(1)), F.sum(F.when(F.col("comp") != F.col("_major"), F.col("_all")).otherwise(0))).first()
-        if not rows_left or pairs_left <= pairs_per_row * rows_left + 250_000 or before and pairs_left > 0.7 * before:
-            break  # few pairs are left, or pivots don't link them
-        before = pairs_left
-        first = open_.groupBy("sig").agg(F.min_by(F.struct("node", "comp", "n"), F.xxhash64("node", F.lit(round_))).alias("_p"))
-        comps = merged(comps, open_.join(first, "sig").where("comp <> _p.comp").select(F.col("node").alias("a"), F.col("_p.node").alias("b"), F.col("n").alias("_na"), F.col("_p.n").alias("_nb")))
-
-    # then every pair of different components within a key. Linked sets share so many keys that at the first of
-    # them both have as many left
+        several = known.groupBy("sig").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least <> _most").select("sig")
+        return known.drop("comp").join(several, "sig")
+
+    # a key of many sets: all are compared with the set in the middle; those that aren't of its component
+    # after that meet others by new keys, among the tokens that the middle set lacks
+    few, borders = [members.where(F.col("c") < FREQUENT).select("sig", "node", "n", "s")], []
+    many = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
+    for _ in range(rounds):
+        many = checkpoint(open_keys(many))
+        middle = many.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node"))).alias("pivot"))
+        pairs = checkpoint(many.join(middle, "sig").where("node <> pivot").select("node", "n", "pivot").distinct().coalesce(parts))
+        if pairs.isEmpty():
+            break
+        sets = lambda which: _whole_sets(docs, nodes.join(which.distinct(), "node", "left_semi"), rule)
+        seen = checkpoint(_compared(pairs, sets(pairs.select("node")), checkpoint(sets(pairs.select(F.col("pivot").alias("node")))), frequent, rule))
+        comps = merged(comps, seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        borders.append(seen.where("place IS NOT NULL").select("node", "n", "pivot", "shared", "place", "reach"))
+        keys = seen.select("node", "n", F.explode("keys").alias("sig")).join(small_side(keyed.select("node", "rare")), "node").distinct()
+        shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        again = checkpoint(keys.join(shared, "sig"))
+        few.append(again.where(F.col("c") < FREQUENT).select("sig", "node", "n", F.lit(1 << 30).alias("s")))
+        many = again.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
+    else:
+        few.append(open_keys(many).select("sig", "node", "n", F.lit(1 << 30).alias("s")))
+
+    # every pair of different components within a key of few sets. Linked sets share so many keys that at the first
+    # of them both have as many left
     common = F.ceil(rule.percent * (F.col("_na") + F.col("_nb")) / (100 + rule.percent))
     enough = F.least("_sa", "_sb") > common - F.ceil(rule.percent * F.greatest("_na", "_nb") / 100)
-    side = lambda rows, k: rows.select("sig", F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"), F.col("s").alias(f"_s{k}"))
-    few = members.where(F.col("c") < FREQUENT).join(comps, "node")
-    pairs = side(few, "a").join(side(few, "b"), "sig").where((F.col("a") < F.col("b")) & (F.col("_ca") != F.col("_cb")) & enough & _near_sizes("_na", "_nb", rule))
-    open_ = checkpoint(open_keys(many))
-    inner = open_.select("sig", F.col("node").alias("b"), F.col("comp").alias("_cb"), F.col("n").alias("_nb"), F.col("s").alias("_sb"), (F.col("comp") == F.col("_major")).alias("_in_major"))
-    most = side(open_.where("comp <> _major"), "a").join(inner, "sig").where((F.col("_ca") != F.col("_cb")) & (F.col("_in_major") | (F.col("a") < F.col("b"))) & enough & _near_sizes("_na", "_nb", rule))
-    columns = ["a", "b", "_na", "_nb"]
-    comps = merged(comps, pairs.select(columns).union(most.select(columns)))
+    side = lambda rows, k, *of: rows.select(*of, F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"))
+    apart = (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", rule)
+    listed = reduce(DataFrame.unionByName, few).join(comps, "node")
+    pairs = side(listed, "a", "sig", F.col("s").alias("_sa")).join(side(listed, "b", "sig", F.col("s").alias("_sb")), "sig").where((F.col("a") < F.col("b")) & enough & apart).select("a", "b")
+    if borders:
+        border = reduce(DataFrame.unionByName, borders).join(comps, "node")
+        mine = side(border.withColumn("place", F.explode("reach")), "a", "pivot", "place", F.col("shared").alias("_ta"))
+        theirs = side(border, "b", "pivot", "place", F.col("shared").alias("_tb"))
+        pairs = pairs.union(mine.join(theirs, ["pivot", "place"]).where(apart & (F.least("_ta", "_tb") >= common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    near = checkpoint(_pairs_where(pairs.distinct(), nodes, "low", _may_link(rule)))
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    links = checkpoint(_pairs_where(near, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
+    comps = merged(comps, links)
 
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
