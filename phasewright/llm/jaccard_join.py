@@ -59,6 +59,13 @@ def low_part(tokens: np.ndarray, rule: Rule) -> np.ndarray:
     return tokens[: rule.spare(n) + 1 + max(c for _, c in rule.ranges(n))] if n > 40 else tokens
 
 
+def _among(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are in ``known``, which is ascending and may be much longer."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
 def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, rule: Rule) -> np.ndarray | None:
     """Index keys of a set; None if more of its tokens are needed than given.
 
@@ -69,10 +76,7 @@ def signatures(tokens: np.ndarray, n: int, frequent: np.ndarray, rule: Rule) ->
     may lack, so that two linked sets share a key. A rare token is its own key.
     """
     need, complete, out = rule.spare(n) + 1, len(tokens) == n, []
-    hot = np.zeros(len(tokens), bool)
-    if len(frequent) and len(tokens):
-        at = np.searchsorted(frequent, tokens)
-        hot = frequent[np.minimum(at, len(frequent) - 1)] == tokens
+    hot = _among(tokens, frequent)
     rare = tokens[~hot]
     if len(rare) < need and not complete:
         return None
@@ -112,7 +116,7 @@ def _shingled(docs: DataFrame, rule: Rule) -> DataFrame:
 def _signed(nodes: list, sizes: list, tokens: list[np.ndarray], frequent: np.ndarray, rule: Rule) -> dict[str, list]:
     keys = [signatures(t, n, frequent, rule) for t, n in zip(tokens, sizes, strict=True)]
     # how far a set is from the middle of its group: rare tokens among those that decide
-    rare = [int((~np.isin(t[: rule.spare(n) + 1], frequent)).sum()) / (rule.spare(n) + 1) for t, n in zip(tokens, sizes, strict=True)]
+    rare = [int((~_among(t[: rule.spare(n) + 1], frequent)).sum()) / (rule.spare(n) + 1) for t, n in zip(tokens, sizes, strict=True)]
     return {"node": nodes, "n": sizes, "sigs": keys, "rare": rare}
 
 
@@ -212,12 +216,12 @@ def beyond(x: np.ndarray, pivot: np.ndarray, name: int, least: int, frequent: np
     ``common(n, m)`` of these.
     """
     n = len(x)
-    own = pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] != x
+    own = ~_among(x, pivot)
     other, shared = x[own], n - int(own.sum())
     linked = 100 * shared >= rule.percent * len(pivot) + rule.percent * len(other)
     low = max(-(-rule.percent * n // 100), least)
     need = rule.common(n, low) - shared
-    hot = np.isin(other, frequent)
+    hot = _among(other, frequent)
     other = np.concatenate((other[~hot], other[hot]))[: max(0, len(other) - max(need, 1) + 1)]
     keys = (mix(mix(other.astype(np.uint64)) ^ mix(np.array([name], np.uint64))) >> np.uint64(1)).astype(np.int64)
     high = (100 + rule.percent) * shared // rule.percent - n
