@@ -47,14 +47,20 @@ def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let batches to Python hold at most ``rows`` rows from now on: a row here is a whole text.
+#: Arrow batches to Python: rows, and bytes, at most.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 1 << 24}
 
-    Only the size of batches changes, never a result.
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound batches to Python from now on: a row here is a whole text.
+
+    Only the size of batches changes, never a result. Results are lazy, so the
+    bounds have to hold for as long as the session may run them; settings that
+    are lower already are left alone.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    for key, most in _BATCH.items():
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def _trim() -> None:
@@ -65,13 +71,22 @@ def _trim() -> None:
         return
 
 
+def _values(column: pa.Array) -> list:
+    """The column's values; lists of numbers as numpy views, not as Python numbers."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    whole = column.is_valid().to_pylist()
+    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], whole, strict=True)]
+
+
 def map_texts(
     df: DataFrame,
     columns: list[str],
     schema: str,
     work: Callable[[dict[str, list]], dict[str, object]],
 ) -> DataFrame:
-    """Run ``work`` over Arrow batches of ``columns``; it gets and gives columns by name."""
+    """Run ``work`` over Arrow batches of ``columns``; it gets and gives columns by name, lists as numpy arrays."""
     names = [part.strip().split(" ")[0].strip("`") for part in schema.split(",")]
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     arrow = pa.schema([(n, types[part.strip().split(" ")[1]]) for n, part in zip(names, schema.split(","), strict=True)])
@@ -82,7 +97,7 @@ def map_texts(
             # long texts make wide batches: a slice bounds what is decoded at once
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                out = work({c: part.column(i).to_pylist() for i, c in enumerate(columns)})
+                out = work({c: _values(part.column(i)) for i, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
             del batch, part, out
             pa.default_memory_pool().release_unused()

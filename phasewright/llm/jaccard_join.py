@@ -145,7 +145,7 @@ def _signature_rows(sets: DataFrame, tokens: str, frequent: np.ndarray, rule: Ru
     """(node, n, sigs) with the keys of each set, null for a set that lacks tokens."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
-        return _signed(x["node"], x["n"], [np.array(t, np.int64) for t in x[tokens]], frequent, rule)
+        return _signed(x["node"], x["n"], x[tokens], frequent, rule)
 
     return map_texts(sets, ["node", "n", tokens], _SIGNED, work)
 
@@ -233,7 +233,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, frequent: np
     """(node, n, pivot, linked, shared, place, reach, keys) of the pairs (node, pivot)."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
-        found = [beyond(np.array(t, np.int64), np.array(p, np.int64), c, least, frequent, rule) for t, p, c, least in zip(x["tokens"], x["_tokens"], x["pivot"], x["least"], strict=True)]
+        found = [beyond(t, p, c, least, frequent, rule) for t, p, c, least in zip(x["tokens"], x["_tokens"], x["pivot"], x["least"], strict=True)]
         return {"node": x["node"], "n": x["n"], "pivot": x["pivot"]} | {k: [getattr(f, k) for f in found] for k in ("linked", "shared", "place", "reach", "keys")}
 
     groups = pairs.groupBy("pivot").agg(F.min("n").alias("least"))
