@@ -191,12 +191,11 @@ def _near_sizes(a: str, b: str, rule: Rule):
 
 @dataclass(frozen=True)
 class Beyond:
-    """What a set has beside a pivot, as far as links between sets of the pivot's group go."""
+    """What a set has beside the core of its group, as far as links within the group go."""
 
-    linked: bool  # to the pivot itself
-    shared: int  # tokens that are the pivot's too
-    place: int | None  # where the set stands by size if a link may rest on the pivot's tokens alone
-    reach: tuple[int, ...]  # places of the sets it may link with in that way, if it isn't linked to the pivot
+    shared: int  # tokens of the core
+    place: int | None  # where the set stands by size if a link may rest on the core's tokens alone
+    reach: tuple[int, ...]  # places of the sets it may link with in that way
     keys: np.ndarray  # index keys among its other tokens
 
 
@@ -204,45 +203,55 @@ def _place(n: int) -> int:
     return int(math.log(n) * 50)
 
 
-def beyond(x: np.ndarray, pivot: np.ndarray, name: int, least: int, frequent: np.ndarray, rule: Rule) -> Beyond:
-    """Keys by which a set meets those it is linked to, once both are compared with one pivot.
+def beyond(x: np.ndarray, core: np.ndarray, name: int, least: int, frequent: np.ndarray, rule: Rule) -> Beyond:
+    """Keys by which a set meets those of its group that it is linked to.
 
     Of the tokens that ``x`` has in common with a linked set, at most ``shared``
-    are the pivot's. A linked set has ``low`` tokens or more (``least`` is the
+    are the core's. A linked set has ``low`` tokens or more (``least`` is the
     smallest size of the group), so at least ``common(n, low) - shared`` of them
     are not. If that is above 0, two linked sets share a token among the first
-    few (rare before frequent, then by hash) of those that the pivot lacks. If
-    not, they may also share the pivot's tokens only; then each of them has
-    ``common(n, m)`` of these.
+    few (rare before frequent, then by hash) of those that the core lacks. If
+    not, they may also share the core's tokens only; then each of them has
+    ``common(n, m)`` of these. Any set of tokens may be the core.
     """
     n = len(x)
-    own = ~_among(x, pivot)
-    other, shared = x[own], n - int(own.sum())
-    linked = 100 * shared >= rule.percent * len(pivot) + rule.percent * len(other)
+    inside = _among(x, core)
+    other, shared = x[~inside], int(inside.sum())
     low = max(-(-rule.percent * n // 100), least)
     need = rule.common(n, low) - shared
     hot = _among(other, frequent)
     other = np.concatenate((other[~hot], other[hot]))[: max(0, len(other) - max(need, 1) + 1)]
     keys = (mix(mix(other.astype(np.uint64)) ^ mix(np.array([name], np.uint64))) >> np.uint64(1)).astype(np.int64)
     high = (100 + rule.percent) * shared // rule.percent - n
-    reach = tuple(range(_place(low), _place(high) + 1)) if need <= 0 and not linked and high >= low else ()
-    return Beyond(linked, shared, _place(n) if need <= 0 else None, reach, keys)
+    if need > 0 or high < low:
+        return Beyond(shared, None, (), keys)
+    return Beyond(shared, _place(n), tuple(range(_place(low), _place(high) + 1)), keys)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, pivots: DataFrame, frequent: np.ndarray, rule: Rule) -> DataFrame:
-    """(node, n, pivot, linked, shared, place, reach, keys) of the pairs (node, pivot)."""
+def _cores(members: DataFrame) -> DataFrame:
+    """(grp, core, least): the tokens that more than half of a group's sets have, and the smallest size.
+
+    Counted by group and token, so that no group is gathered; a core has at most
+    twice as many tokens as its sets have on average.
+    """
+    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("_g"), F.min("n").alias("least"))
+    counts = members.select("grp", F.explode("tokens").alias("token")).groupBy("grp", "token").agg(F.count(F.lit(1)).alias("_c"))
+    most = counts.join(small_side(sizes), "grp").where("2 * _c > _g").groupBy("grp").agg(F.sort_array(F.collect_list("token")).alias("core"))
+    return sizes.join(most, "grp", "left").select("grp", F.coalesce("core", F.array().cast("array<long>")).alias("core"), "least")
+
+
+def _compared(members: DataFrame, frequent: np.ndarray, rule: Rule) -> DataFrame:
+    """(node, n, rare, grp, core_size, shared, place, reach, keys) of the members (node, n, rare, grp, tokens) of groups."""
 
     def work(x: dict[str, list]) -> dict[str, object]:
-        found = [beyond(t, p, c, least, frequent, rule) for t, p, c, least in zip(x["tokens"], x["_tokens"], x["pivot"], x["least"], strict=True)]
-        return {"node": x["node"], "n": x["n"], "pivot": x["pivot"]} | {k: [getattr(f, k) for f in found] for k in ("linked", "shared", "place", "reach", "keys")}
+        found = [beyond(t, core, g, least, frequent, rule) for t, core, g, least in zip(x["tokens"], x["core"], x["grp"], x["least"], strict=True)]
+        return {k: x[k] for k in ("node", "n", "rare", "grp")} | {"core_size": list(map(len, x["core"]))} | {k: [getattr(f, k) for f in found] for k in ("shared", "place", "reach", "keys")}
 
-    groups = pairs.groupBy("pivot").agg(F.min("n").alias("least"))
-    known = pivots.select(F.col("node").alias("pivot"), F.col("tokens").alias("_tokens"), "n").join(groups, "pivot")
-    # at most 32 MB of pivots are sent to all
-    size = known.agg(F.count(F.lit(1)), F.sum("n")).first()
-    known = F.broadcast(known.drop("n")) if (size[0] or 0) * 16 + (size[1] or 0) * 8 <= 1 << 25 else known.drop("n")
-    rows = sets.join(small_side(pairs.select("node", "pivot")), "node").join(known, "pivot")
-    return map_texts(rows, ["node", "n", "pivot", "tokens", "_tokens", "least"], "node long, n long, pivot long, linked boolean, shared long, place long, reach array<long>, keys array<long>", work)
+    cores = checkpoint(_cores(members))
+    # at most 32 MB of cores are sent to all
+    rows, tokens = cores.agg(F.count(F.lit(1)), F.sum(F.size("core"))).first()
+    known = F.broadcast(cores) if rows * 16 + (tokens or 0) * 8 <= 1 << 25 else cores
+    return map_texts(members.join(known, "grp"), ["node", "n", "rare", "grp", "tokens", "core", "least"], "node long, n long, rare double, grp long, core_size long, shared long, place long, reach array<long>, keys array<long>", work)
 
 
 def _frequent_tokens(counts: DataFrame, have: np.ndarray | None = None) -> np.ndarray:
@@ -264,9 +273,10 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "d
 
     Equal sets are one node. Keys made by ``signatures`` find candidates; a pair
     is a link only after its whole sets are compared. The sets of a frequent key
-    are compared with its middle set, the pivot, which gives each of them new keys
-    among the tokens that the pivot lacks (``beyond``); frequent new keys get
-    pivots of their own, for ``rounds`` rounds. Every pair of different components
+    are a group, whose core are the tokens that most of them have. Sets with
+    enough of the core are linked for certain; each set gets new keys among the
+    tokens that the core lacks (``beyond``). Frequent new keys make groups of
+    their own, for ``rounds`` rounds. Every pair of different components
     within a key of few sets, or of one that is frequent after all rounds, is
     compared. So no link between different components is lost, while a group of
     near copies costs a few pairs a set.
@@ -352,23 +362,28 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         several = known.groupBy("sig").agg(F.min("comp").alias("_least"), F.max("comp").alias("_most")).where("_least <> _most").select("sig")
         return known.drop("comp").join(several, "sig")
 
-    # a key of many sets: all are compared with the set in the middle; those that aren't of its component
-    # after that meet others by new keys, among the tokens that the middle set lacks
+    # a key of many sets makes them a group: by its core, those near it are linked without being compared, and
+    # the others meet by new keys among the tokens that the core lacks
+    share = lambda n, m: F.ceil(rule.percent * (F.col(n) + F.col(m)) / (100 + rule.percent))
     few, borders = [members.where(F.col("c") < FREQUENT).select("sig", "node", "n", "s")], []
     many = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
     for _ in range(rounds):
-        many = checkpoint(open_keys(many))
-        middle = many.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node"))).alias("pivot"))
-        pairs = checkpoint(many.join(middle, "sig").where("node <> pivot").select("node", "n", "pivot").distinct().coalesce(parts))
+        many = checkpoint(open_keys(many).coalesce(parts))
+        # the sets of a key go by the one of fewest rare tokens, so that keys of one family make one group
+        named = many.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node"))).alias("grp"))
+        pairs = checkpoint(many.join(named, "sig").select("node", "n", "rare", "grp").distinct().coalesce(parts))
         if pairs.isEmpty():
             break
-        sets = lambda which: _whole_sets(docs, nodes.join(which.distinct(), "node", "left_semi"), rule)
-        seen = checkpoint(_compared(pairs, sets(pairs.select("node")), checkpoint(sets(pairs.select(F.col("pivot").alias("node")))), frequent, rule))
-        comps = merged(comps, seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        borders.append(seen.where("place IS NOT NULL").select("node", "n", "pivot", "shared", "place", "reach"))
-        keys = seen.select("node", "n", F.explode("keys").alias("sig")).join(small_side(keyed.select("node", "rare")), "node").distinct()
+        sets = _whole_sets(docs, nodes.join(small_side(pairs.select("node").distinct()), "node", "left_semi"), rule).select("node", "tokens")
+        seen = checkpoint(_compared(checkpoint(sets.join(small_side(pairs), "node")), frequent, rule).coalesce(parts))
+        # two sets have at least as many tokens in common as both have of the core, less the core
+        nearest = seen.groupBy("grp").agg(F.max_by(F.struct("node", "n", "shared"), F.struct(F.col("shared") * 2 - F.col("n"), "node")).alias("_b"))
+        seen = seen.join(small_side(nearest), "grp").withColumn("_m", F.col("_b.n")).withColumn("nearest", F.col("_b.node"))
+        comps = merged(comps, seen.where((F.col("node") != F.col("nearest")) & (F.col("shared") + F.col("_b.shared") - F.col("core_size") >= share("n", "_m"))).select(F.col("node").alias("a"), F.col("nearest").alias("b")))
+        borders.append(seen.where("place IS NOT NULL").select("node", "n", "grp", "nearest", "shared", "place", "reach"))
+        keys = seen.select("node", "n", "rare", F.explode("keys").alias("sig")).distinct()
         shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        again = checkpoint(keys.join(shared, "sig"))
+        again = checkpoint(keys.join(shared, "sig").coalesce(parts))
         few.append(again.where(F.col("c") < FREQUENT).select("sig", "node", "n", F.lit(1 << 30).alias("s")))
         many = again.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
     else:
@@ -376,17 +391,19 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
 
     # every pair of different components within a key of few sets. Linked sets share so many keys that at the first
     # of them both have as many left
-    common = F.ceil(rule.percent * (F.col("_na") + F.col("_nb")) / (100 + rule.percent))
+    common = share("_na", "_nb")
     enough = F.least("_sa", "_sb") > common - F.ceil(rule.percent * F.greatest("_na", "_nb") / 100)
     side = lambda rows, k, *of: rows.select(*of, F.col("node").alias(k), F.col("comp").alias(f"_c{k}"), F.col("n").alias(f"_n{k}"))
     apart = (F.col("_ca") != F.col("_cb")) & _near_sizes("_na", "_nb", rule)
     listed = reduce(DataFrame.unionByName, few).join(comps, "node")
     pairs = side(listed, "a", "sig", F.col("s").alias("_sa")).join(side(listed, "b", "sig", F.col("s").alias("_sb")), "sig").where((F.col("a") < F.col("b")) & enough & apart).select("a", "b")
     if borders:
+        # sets near a core that aren't of the component of the nearest one, with those of sizes that they may link with
         border = reduce(DataFrame.unionByName, borders).join(comps, "node")
-        mine = side(border.withColumn("place", F.explode("reach")), "a", "pivot", "place", F.col("shared").alias("_ta"))
-        theirs = side(border, "b", "pivot", "place", F.col("shared").alias("_tb"))
-        pairs = pairs.union(mine.join(theirs, ["pivot", "place"]).where(apart & (F.least("_ta", "_tb") >= common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        outside = border.join(comps.select(F.col("node").alias("nearest"), F.col("comp").alias("_nc")), "nearest").where("comp <> _nc")
+        mine = side(outside.withColumn("place", F.explode("reach")), "a", "grp", "place", F.col("shared").alias("_ta"))
+        theirs = side(border, "b", "grp", "place", F.col("shared").alias("_tb"))
+        pairs = pairs.union(mine.join(theirs, ["grp", "place"]).where(apart & (F.least("_ta", "_tb") >= common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     near = checkpoint(_pairs_where(pairs.distinct(), nodes, "low", _may_link(rule)))
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     links = checkpoint(_pairs_where(near, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
