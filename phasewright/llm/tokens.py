@@ -8,18 +8,23 @@ difference between Unicode tables can change a count.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-#: Characters for which the pattern, case and composition are the same in every Unicode version.
-_ODD = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧€]")
-_BYTE_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_WORD_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters for which the patterns, case and composition are the same in every Unicode version, as a class.
+_PLAIN = r"\t\n\r\x20-\x7e\xa0-ɏ‐-‧€"
+_ODD = re.compile(f"[^{_PLAIN}]")
+_CHARACTERS = "".join(c for c in map(chr, range(0x2100)) if not _ODD.search(c))
+_LETTER, _NUMBER = (re.escape("".join(sorted(set(regex.findall(rf"\p{{{kind}}}", _CHARACTERS + _CHARACTERS.lower()))))) for kind in "LN")
+#: The published patterns, over plain characters.
+_BYTE_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+")
+_WORD_PATTERN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 #: Longer pre-tokens are merged each time and not kept.
 _LONGEST_KEPT = 64
-_MOST_KEPT = 120_000
+_MOST_KEPT = 160_000
 
 
 @lru_cache(1)
@@ -35,6 +40,29 @@ def to_letters(piece: str) -> str:
     return "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
 
 
+class Kept(dict):
+    """Values by key, worked out once, in bounded memory.
+
+    When ``_MOST_KEPT`` keys are in, they become the old ones; an old key that is
+    asked for again is kept on, the others go with the next change.
+    """
+
+    def __init__(self, work) -> None:
+        super().__init__()
+        self.work, self.old = work, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(key) <= _LONGEST_KEPT:
+            if len(self) >= _MOST_KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class _Library:
     """A tokenizer file, its added tokens, and its merges for single pre-tokens."""
 
@@ -58,89 +86,61 @@ class _Library:
         return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
 
 
-class _Counts(dict):
-    """Tokens in a pre-token: the proved whole tokens, and bounded memory of merges."""
-
-    def __init__(self, library: _Library) -> None:
-        super().__init__()
-        self.library = library
-        letters = {c: b for b, c in enumerate(byte_letters())}
-        whole = {}
-        with open(library.path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        for token in vocabulary:
-            if all(c in letters for c in token) and len(library.merge(token)) == 1:
-                try:
-                    whole[bytes(letters[c] for c in token).decode("utf-8")] = 1
-                except UnicodeDecodeError:
-                    continue  # part of a character: never a pre-token
-        self.whole = whole
-        self.update(whole)
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.library.merge(to_letters(piece)))
-        if len(piece) <= _LONGEST_KEPT:
-            if len(self) >= len(self.whole) + _MOST_KEPT:
-                self.clear()
-                self.update(self.whole)
-            self[piece] = n
-        return n
-
-
 class TokenCounter:
-    """Counts byte-level BPE tokens: whole-token table first, merges for the rest."""
+    """Counts byte-level BPE tokens: whole-token table first, merges for the rest.
+
+    ``whole`` holds the vocabulary strings, in byte letters, that are proved to
+    encode alone as one token, ``texts`` the same as text. Both kinds of texts,
+    plain ones and those cut by the library, look their pre-tokens up there.
+    """
 
     def __init__(self, path: str) -> None:
         self.library = _Library(path)
-        self.counts = _Counts(self.library)
+        letters = {c: b for b, c in enumerate(byte_letters())}
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        self.whole = {t for t in vocabulary if all(c in letters for c in t) and len(self.library.merge(t)) == 1}
+        self.texts = set()
+        for token in self.whole:
+            try:
+                self.texts.add(bytes(letters[c] for c in token).decode("utf-8"))
+            except UnicodeDecodeError:
+                continue  # part of a character: never a pre-token
+        self.pieces = Kept(lambda x: 1 if x in self.texts else len(self.library.merge(to_letters(x))))
+        self.letters = Kept(lambda x: 1 if x in self.whole else len(self.library.merge(x)))
 
     def count(self, text: str) -> int:
-        total, of = 0, self.counts.__getitem__
+        total = 0
         for i, part in enumerate(self.library.parts(text)):
             if i % 2:
                 total += 1
             elif _ODD.search(part):
-                total += sum(len(self.library.merge(x)) for x in self.library.library_letters(part))
+                total += sum(map(self.letters.__getitem__, self.library.library_letters(part)))
             else:
-                total += sum(map(of, _BYTE_PATTERN.findall(part)))
+                total += sum(map(self.pieces.__getitem__, _BYTE_PATTERN.findall(part)))
         return total
 
 
-class _Ids(dict):
-    """Packed ids of a pre-token, in bounded memory."""
-
-    def __init__(self, library: _Library) -> None:
-        super().__init__()
-        self.library = library
-
-    def pack(self, letters: str) -> bytes:
-        return np.array([t.id for t in self.library.merge(letters)], "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        packed = self.pack(to_letters(piece))
-        if len(piece) <= _LONGEST_KEPT:
-            if len(self) >= _MOST_KEPT:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
 class WordEncoder:
     """Ids of the word-end BPE as little-endian 32-bit words."""
 
     def __init__(self, path: str) -> None:
         self.library = _Library(path)
-        self.ids = _Ids(self.library)
+        self.pieces = Kept(lambda x: self._pack(to_letters(x)))
+        self.letters = Kept(self._pack)
+
+    def _pack(self, letters: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.library.merge(letters)])
 
     def encode(self, text: str) -> bytes:
-        out, of = [], self.ids.__getitem__
+        out: list[bytes] = []
         for i, part in enumerate(self.library.parts(text)):
             if i % 2:
-                out.append(np.array([self.library.added[part]], "<u4").tobytes())
+                out.append(self.library.added[part].to_bytes(4, "little"))
             elif _ODD.search(part):
-                out += map(self.ids.pack, self.library.library_letters(part))
+                out += map(self.letters.__getitem__, self.library.library_letters(part))
             else:
-                out += map(of, _WORD_PATTERN.findall(part.lower()))
+                out += map(self.pieces.__getitem__, _WORD_PATTERN.findall(part.lower()))
         return b"".join(out)
 
 

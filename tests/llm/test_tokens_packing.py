@@ -14,7 +14,7 @@ from phasewright.llm.tokens import TokenCounter, WordEncoder
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     "", " ", "a", "Hello  world\n\n it's I'LL 123456", "<|endoftext|> x<|startoftext|>", "日本語のテキスト ΑΣ ΣΑΣ.", "é É ﬁ İstanbul ß ſ",
-    "\x00\x1c\x85  \xa0\xa0x", "x" * 5000, "🙂🙂 👩‍👩‍👧 नमस्ते", "the the\tthe \r\n  ", "…—“quoted” €5 naïve Straße Ŝanĝo",
+    "\x00\x1c\x85  \xa0\xa0x", "x" * 5000, "🙂🙂 👩‍👩‍👧 नमस्ते", "the the\tthe \r\n  ", "…—“quoted” €5 naïve Straße Ŝanĝo", "ȺȾ İ a", "日本 the ½ ²³ ｈｅｌｌｏ the", "word ￼ " * 70_000 + "é" * 200_000,
 ]
 DOCS = "doc_id long, text string, n_tokens string, piece string"
 
@@ -36,6 +36,24 @@ def test_tokens_of_any_text(text):
     assert np.frombuffer(encoder.encode(text), "<u4").tolist() == word_lib.encode(text, add_special_tokens=False).ids
 
 
+def test_every_plain_character():
+    from phasewright.llm.tokens import _CHARACTERS
+
+    for c in _CHARACTERS:
+        for text in (c, f"a{c}b", f"1{c} {c}2", f"{c}{c} '{c}"):
+            assert counter.count(text) == len(byte_lib.encode(text, add_special_tokens=False).ids), repr(text)
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == word_lib.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_memory_of_counts_is_bounded():
+    from phasewright.llm import tokens
+
+    kept = tokens.Kept(len)
+    assert all(kept[f"{i}"] == len(f"{i}") for i in range(3)) and kept["x" * 100] == 100 and "x" * 100 not in kept
+    kept.old, before = {"again": 5}, len(kept)
+    assert kept["again"] == 5 and len(kept) == before + 1
+
+
 def test_count_table(spark):
     rows = [(1, None, "x", "y"), (1, None, "x", "y"), (None, "ab cd", None, None), (2, "word " * 600, "", "")]
     got = sorted(map(tuple, token_counts(spark.createDataFrame(rows, DOCS), BYTE).collect()), key=str)
