@@ -42,9 +42,30 @@ def checkpoint(df: DataFrame, batch_rows: int = 500) -> DataFrame:
         spark.conf.set(key, before)
 
 
-def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """``df``, of a few short columns, marked for a broadcast if it is counted to be small; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= most_rows else df
+def small_side(df: DataFrame, most_rows: int = 200_000, *, lists: str | None = None) -> DataFrame:
+    """``df``, of a few short columns, marked for a broadcast if it is counted to be small; else joins shuffle it.
+
+    Elements of the array column ``lists`` count as rows of their own.
+    """
+    rows, elements = df.agg(F.count(F.lit(1)), F.sum(F.size(lists)) if lists else F.lit(0)).first()
+    return F.broadcast(df) if rows + (elements or 0) <= most_rows else df
+
+
+def spare_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of ``taken``."""
+    have, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, *, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` less those of ``gone`` (doc_id, text_hash), by any names of columns; or those only, by ``left_semi``."""
+    d, h = spare_names(docs.columns, "_d", "_h")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(h))
+    return docs.join(small_side(gone.select(F.col("doc_id").alias(d), F.col("text_hash").alias(h))), same, how)
 
 
 #: Arrow batches to Python: rows, and bytes, at most.

@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import checkpoint, small_side, table
+from .common import checkpoint, small_side, table, without
 
 #: Blocks of a 64-bit fingerprint: where each begins and how wide it is.
 BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
@@ -122,7 +122,7 @@ def _of_length(base: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
     starts = F.array_distinct(F.flatten(F.transform(dense, lambda i: F.when(low(i) <= high(i), F.sequence(low(i), high(i))).otherwise(F.array().cast("array<int>")))))
     places = checkpoint(runs.select("doc_id", "text_hash", "w", "m", F.explode(starts).alias("start")))
     by_doc = places.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(F.collect_list(F.struct("w", "m", "start")).alias("_at"))
-    again = base.join(small_side(by_doc, 50_000), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
+    again = base.join(small_side(by_doc, lists="_at"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")))
     again = again.select("doc_id", "text_hash", "_at", shingles_of(words_of(F.col("_text")), k).alias("toks"))
     cut = again.select("doc_id", "text_hash", "toks", F.explode("_at").alias("_a")).select("doc_id", "text_hash", "_a.w", "_a.start", F.slice("toks", F.col("_a.start") + 1, F.col("_a.m")).alias("toks"))
     windows = checkpoint(cut.withColumn("win", F.monotonically_increasing_id()))
@@ -140,9 +140,15 @@ def _of_length(base: DataFrame, items: DataFrame, k: int, percent: int) -> DataF
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents in which no passage is like a benchmark item, with all their columns."""
-    found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    return docs.join(small_side(checkpoint(found)), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_h")), "left_anti")
+    """The documents in which no passage is like a benchmark item, with all their columns.
+
+    Null and empty texts stay; documents of a null id are judged by their text;
+    rows repeated whole stay or go together, texts that share an id are judged
+    each. An empty table gives none, an empty benchmark leaves all. Columns may
+    have any names.
+    """
+    found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how).select("doc_id", "text_hash").distinct()
+    return without(docs, checkpoint(found), id_col=id_col, text_col=text_col)
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

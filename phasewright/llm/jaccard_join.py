@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import checkpoint, map_texts, mix, small_side, table, utf8, word_grams
+from .common import checkpoint, map_texts, mix, small_side, table, utf8, without, word_grams
 from .graph import ROWS_A_TASK, components
 
 #: A token of at least so many sets may count as frequent, ...
@@ -297,20 +297,20 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule(5, 80), *, id_col: str = "doc
 
     The document of the smallest id stays; of texts that share this id, the one
     of the least hash; of rows repeated whole, one. Documents without shingles
-    stay, and so do components in which no document has an id.
+    stay, and so do components in which no document has an id. An empty table
+    gives none; columns may have any names.
     """
     rows = _component_rows(docs, rule, id_col, text_col, 3).where("n_shingles > 0 AND component_id IS NOT NULL").select("doc_id", "h", "component_id")
     rows = checkpoint(rows)
     stays = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("h").alias("_stays"), F.count(F.lit(1)).alias("_c"))
     judged = rows.join(stays, "component_id").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("_stays")))
-    gone = judged.where(~F.col("_kept")).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    twice = judged.where(F.col("_kept")).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_h"))
-    left = docs.join(small_side(checkpoint(gone)), same, "left_anti")
-    twice = checkpoint(twice)
+    gone = checkpoint(judged.where(~F.col("_kept")).select("doc_id", F.col("h").alias("text_hash")).distinct())
+    twice = checkpoint(judged.where(F.col("_kept")).groupBy("doc_id", F.col("h").alias("text_hash")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c"))
+    left = without(docs, gone, id_col=id_col, text_col=text_col)
     if twice.isEmpty():
         return left
-    return left.join(small_side(twice), same, "left_anti").unionByName(left.join(small_side(twice), same, "left_semi").dropDuplicates([id_col, text_col]))
+    once = without(left, twice, id_col=id_col, text_col=text_col, how="left_semi").dropDuplicates([id_col, text_col])
+    return without(left, twice, id_col=id_col, text_col=text_col).unionByName(once)
 
 
 def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rounds: int) -> DataFrame:

@@ -151,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max
 
     The sample is bounded so that its statistics fit the driver (12,000 rows of
     some thirty numbers) whatever the corpus: the ids with the smallest hashes.
-    An id labelled twice counts once, with its smallest label.
+    An id labelled twice counts once, with its smallest label; of several texts
+    of one id the least by its statistics counts.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", max
     def work(x: dict[str, list]) -> dict[str, object]:
         return {"key": x["_id"], "label": x["_label"], "features": [row.tobytes() for row in statistics(x["_text"])]}
 
-    rows = sorted(map(tuple, map_texts(chosen, ["_id", "_label", "_text"], "key long, label int, features binary", work).dropDuplicates(["key"]).collect()))
+    rows = sorted(map(tuple, map_texts(chosen, ["_id", "_label", "_text"], "key long, label int, features binary", work).groupBy("key", "label").agg(F.min("features")).collect()))
     x = np.stack([np.frombuffer(r[2]) for r in rows]) if rows else np.zeros((0, len(FEATURES)))
     return fit_trees(x, np.array([r[1] for r in rows], float))
 
@@ -189,7 +190,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, max_rows: int = 12_000, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
+    """The documents whose score reaches the threshold, with all their columns.
+
+    A null text is scored as an empty one; null ids are scored like others;
+    repeated rows stay or go together. An empty table gives none; columns may have
+    any names, and only the id and the text are read.
+    """
     model = train(docs, labels, max_rows=max_rows, id_col=id_col, text_col=text_col)
 
     @F.arrow_udf("double")

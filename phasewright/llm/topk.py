@@ -8,19 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, small_side, table
 
 _EXACT = 2.0**52
+#: Stands for itself and any score below, of which the longs end; it must not be among the best.
+BELOW = -(2**63) + 1
 
 
 def quantised(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 64) -> DataFrame:
     """(vec_id, q, norm): floor(factor * x) of each component as whole doubles, and the length.
 
-    Vectors that are null, empty or hold a null or a number that is not finite take
-    no part, nor do those whose scaled components reach 2**31, nor null ids.
+    Vectors that are null or hold a null or a number that is not finite (a double
+    over 2.8e306 is none once it is scaled) take no part, nor do null ids. A vector
+    without components is one of length 0.
     """
-    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) * factor < float(1 << 31)))
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0)).where(fine)
+    fine = F.forall(F.col(vector_col), lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) * factor < math.inf))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(fine)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * factor).cast("double")).alias("q"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("q", F.lit(0.0), lambda a, v: a + v * v)))
 
@@ -58,10 +61,17 @@ def _matrix(q, size: int) -> np.ndarray:
 
 
 def _whole_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of rows of whole numbers."""
+    """Exact inner products of rows of whole numbers; what is below every long is ``BELOW``.
+
+    A product beyond the largest long would be the best of its query and can't be
+    returned: OverflowError.
+    """
     if (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * max(1, a.shape[1]) < _EXACT:
         return np.rint(np.einsum("ij,ij->i", a, b)).astype(np.int64)
-    return np.array([sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for u, v in zip(a, b, strict=True)], dtype=object).astype(np.int64)
+    exact = [sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for u, v in zip(a.tolist(), b.tolist(), strict=True)]
+    if max(exact, default=0) > np.iinfo(np.int64).max:
+        raise OverflowError(f"a score of {max(exact)} is beyond a long")
+    return np.array([max(x, BELOW) for x in exact], np.int64)
 
 
 def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis: np.ndarray, cells: int = 2_000_000) -> pd.DataFrame:
@@ -118,14 +128,16 @@ def best_in_block(queries: pd.DataFrame, candidates: pd.DataFrame, k: int, basis
     return pd.DataFrame({"query_id": np.repeat(qids, counts), "vec_id": np.concatenate([*best_i, np.empty(0, np.int64)]).astype(np.int64), "score": np.concatenate([*best_s, np.empty(0, np.int64)]).astype(np.int64)})
 
 
-def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, group_rows: int = 8_192, bands: int = 256) -> DataFrame:
+def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = 16_384, group_rows: int = 16_384, bands: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all
     other rows. Candidates are dealt into blocks of similar length, queries into
     groups. A first pass over the block of longest vectors gives each query a
     score that ``k`` candidates reach; it is then sent only to bands whose
-    longest vector could reach that score. Ties go to the smaller id.
+    longest vector could reach that score, and candidates go only to groups with
+    such queries. Ties go to the smaller id. Scores are exact whatever the size of
+    the components; the query fails if one of the best is no 64-bit number.
 
     Vectors that ``quantised`` passes over take no part; vectors of several sizes
     are filled with zeros; a repeated id is a candidate each time, and a query
@@ -137,6 +149,7 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
     schema = "query_id long, vec_id long, score long"
     if not total:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    size = max(1, size)
     basis = rotation(rows, size)
     # bands of falling length, at most ``bands``; each is dealt into parts by a hash, so that equal lengths are no limit
     count = min(bands, max(1, math.ceil(total / block_rows)))
@@ -167,8 +180,8 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
         entry = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
         return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("best"))
 
-    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
     zero, head = F.lit(0), (F.col("band") == 0) & (F.col("part") == 0)
+    every_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp")
     first = search(queries.select("qid", "q", "norm", F.lit(-math.inf).alias("floor"), "grp", zero.alias("band"), zero.alias("part")), candidates.where(head).select("vec_id", "q", "norm", every_group, "band", "part"))
     first = checkpoint(first)
     reached = best(first).select(F.col("query_id").alias("qid"), F.when(F.size("best") == k, -F.get("best", F.lit(k - 1)).s.cast("double")).otherwise(-math.inf).alias("floor"))
@@ -176,10 +189,12 @@ def exact_top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, factor: int
     tops = F.array(*[F.lit(t) for _, t in by_band])
     reach = F.size(F.filter(tops, lambda t: t * F.col("norm") * (1 + 1e-9) + 1e-6 >= F.col("floor")))  # lengths fall, so these are the first bands
     sent = rest.withColumn("_n", reach).where("_n > 0").select("qid", "q", "norm", "floor", "grp", F.explode(F.sequence(zero, F.col("_n") - 1)).alias("band"))
+    # at most one row for each group and band
+    cells = checkpoint(sent.select("grp", "band").distinct())
     sent = sent.select("*", F.explode(F.sequence(zero, F.get(parts, F.col("band")) - 1)).alias("part")).where(~head)
-    second = search(sent, candidates.where(~head).select("vec_id", "q", "norm", every_group, "band", "part"))
+    second = search(sent, candidates.where(~head).join(small_side(cells), "band").select("vec_id", "q", "norm", "grp", "band", "part"))
     out = best(first.unionByName(second)).select("query_id", F.posexplode("best").alias("_r", "_b"))
-    return out.select("query_id", (F.col("_r") + 1).alias("rank"), F.col("_b.v").alias("vec_id"), (-F.col("_b.s")).alias("score"))
+    return out.select("query_id", (F.col("_r") + 1).alias("rank"), F.col("_b.v").alias("vec_id"), F.when(F.col("_b.s") == -BELOW, F.raise_error(F.lit("a score is below every long"))).otherwise(-F.col("_b.s")).alias("score"))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +204,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q
-  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]) AS BIGINT) AS score
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(a.q, b.q)]), 0) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from phasewright.llm.topk import exact_top_k
 
@@ -10,7 +11,7 @@ VECTORS = "vec_id long, embedding array<float>, label int, score string, rank in
 def brute(rows, k, every):
     good = []
     for i, v in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) for x in v):
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.append((i, [math.floor(float(np.float32(x)) * 64) for x in v]))
     out = set()
     for i, q in {i: q for i, q in reversed(sorted(good, key=lambda g: (g[0], g[1]))) if i % every == 0}.items():
@@ -32,3 +33,19 @@ def test_against_brute_force(spark):
     few = spark.createDataFrame([(*r, 1, "x", 2) for r in rows[:5]], VECTORS)
     assert set(map(tuple, exact_top_k(few).collect())) == brute(rows[:5], 20, 20)
     assert exact_top_k(table.limit(0)).count() == 0
+
+
+def test_large_and_empty_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=2).astype(np.float32).tolist()) for i in range(1, 60)]
+    rows += [(80, [1.0, 2.0]), (81, [4e7, 1.0]), (82, [-4e7, 3e5]), (100, []), (101, []), (120, [3e7, 7e6])]
+    for more in ([], [(140, [0.0, 1.0]), (141, [-3e38, 1.0])]):
+        these = [r for r in rows if not more or r[1][:1] and (r[0] % 20 or r[1][0] > 0)] + more
+        table = spark.createDataFrame([(*r, 1, "x", 2) for r in these], VECTORS)
+        for how in ({}, {"block_rows": 16, "group_rows": 2}):
+            assert set(map(tuple, exact_top_k(table, **how).collect())) == brute(these, 20, 20)
+    for bad in ([(20, [1.0]), (21, [3e38])], [(20, [1.0]), (21, [-3e38])]):
+        with pytest.raises(Exception, match="beyond a long|below every long"):
+            exact_top_k(spark.createDataFrame([(*r, 1, "x", 2) for r in bad], VECTORS)).collect()
+    none = spark.createDataFrame([(20, [], 1, "x", 2), (21, [], 1, "x", 2)], VECTORS)
+    assert list(map(tuple, exact_top_k(none).collect())) == [(20, 1, 21, 0)]
