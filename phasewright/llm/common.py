@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,16 @@ def small_side(df: DataFrame, most_rows: int = 200_000, *, lists: str | None = N
     return F.broadcast(df) if rows + (elements or 0) <= most_rows else df
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver drop the shuffle files and checkpoints of frames that are no longer held.
+
+    Spark removes them only when the driver's garbage is collected, which a step
+    that moves much data but makes few objects may never bring about.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spare_names(taken: list[str], *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be none of ``taken``."""
     have, out = {t.lower() for t in taken}, []
