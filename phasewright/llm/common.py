@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,10 +57,14 @@ def release(spark: SparkSession) -> None:
     """Have the driver drop the shuffle files and checkpoints of frames that are no longer held.
 
     Spark removes them only when the driver's garbage is collected, which a step
-    that moves much data but makes few objects may never bring about.
+    that moves much data but makes few objects may never bring about. The first
+    collection frees what holds them, the second them.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def spare_names(taken: list[str], *names: str) -> list[str]:
