@@ -193,9 +193,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_grams(words: list[bytes], n: int) -> np.ndarray:
     """64-bit hashes of every ``n`` consecutive words; the whole sequence if it is shorter."""
+    return grams_of(words, (n,))[0]
+
+
+def grams_of(words: list[bytes], sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """``word_grams`` of several sizes."""
     if not words:
-        return np.empty(0, np.uint64)
-    n = min(n, len(words))
+        return [np.empty(0, np.uint64) for _ in sizes]
     joined = b" ".join(words)
     data = np.frombuffer(joined, np.uint8)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
@@ -203,8 +207,11 @@ def word_grams(words: list[bytes], n: int) -> np.ndarray:
     up, down = _POWERS.get(len(data) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)))
-        a, b = starts[: len(words) - n + 1], ends[n - 1 :]
-        return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        out = []
+        for n in (min(size, len(words)) for size in sizes):
+            a, b = starts[: len(words) - n + 1], ends[n - 1 :]
+            out.append(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)))
+    return out
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
