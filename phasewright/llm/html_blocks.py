@@ -10,9 +10,16 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "audio", "canvas", "object", "picture", "video", "meter", "progress", "output", "slot",
+    # formulas and drawings within a line
+    "math", "annotation", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace",
+    "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
+    "svg", "circle", "defs", "ellipse", "g", "image", "line", "path", "polygon", "polyline", "rect", "text", "textpath", "tspan", "use",
 }
-#: Their content is no text of the page; it ends only at their own end tag.
-RAW = {"script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp", "select", "svg", "template", "math", "object", "audio", "video", "canvas"}
+#: Scripts, styles, form controls and what no browser shows; they end only at their own end tag.
+RAW = {"script", "style", "textarea", "title", "iframe", "select", "template"}
+#: Text without markup up to the element's own end tag.
+PLAIN = {"xmp", "listing"}
 #: An open element that a new one of the same family ends, unless one of the third set stands between.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -119,7 +126,8 @@ class _Builder:
 def leaf_blocks(page: str | None) -> list[Block]:
     """Every run of text between two block boundaries, in page order.
 
-    Inline elements don't end a block, and a line break in one is white space.
+    Inline elements don't end a block, nor do formulas, drawings and embedded
+    media, whose text is the block's; a line break in one is white space.
     Character references are decoded, white space turns into one space. Broken
     markup never fails: unknown end tags are ignored, open elements end with
     the element that holds them.
@@ -137,11 +145,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         tag = m["tag"].lower()
         if m["end"]:
             b.end(tag)
-        elif tag in RAW:
+        elif tag in RAW or tag in PLAIN:
             if not m["rest"].endswith("/"):
-                if tag not in INLINE:
+                if tag != "title" or not any(e.tag == "svg" for e in b.stack):
                     b.close_block()
                 close = re.compile(rf"</{tag}\s*(?:>|/|\s)", re.I).search(page, at)
+                if tag in PLAIN:
+                    # "&" as a reference, so that decoding gives the text as it stands
+                    b.start(tag, "")
+                    b.words(page[at : close.start() if close else len(page)].replace("&", "&amp;"))
+                    b.end(tag)
                 at = page.find(">", close.end() - 1) + 1 or len(page) if close else len(page)
         else:
             b.start(tag, m["rest"])

@@ -174,7 +174,8 @@ class _PageMaker:
                 text += f' <a href="#">{self.words(1, 3)}</a> <em>{self.sentence()}</em>'
             return self.r.choice((f"<p>{_MARK}{text}</p>", f"<p>{_MARK}{text}</p>", f"<p>{_MARK}{text}", f"<p><b>{_MARK}{text}<br>", f"<div>{_MARK}{text}</div>"))
         if k < 0.78:
-            return f"<h{self.r.randint(2, 4)}>{_MARK}{self.words(1, 9)}</h2>".replace("</h2>", "</h2>")
+            level = self.r.randint(2, 4)
+            return f"<h{level}>{_MARK}{self.words(1, 9)}</h{level}>"
         if k < 0.86:
             return "<ul>" + self.some(lambda: f"<li>{_MARK}{self.r.choice((self.sentence, lambda: self.words(1, 5)))()}</li>", 2, 5) + "</ul>"
         if k < 0.92:
