@@ -1,6 +1,6 @@
 import random
 
-from phasewright.llm.line_dedup import dedup_lines, line_sequences, repeated_blocks
+from phasewright.llm.line_dedup import block_levels, dedup_lines, line_sequences, longest_copies, repeated_blocks
 
 DOCS = "doc_id long, text string, idx int, pos string, gone int"
 
@@ -46,6 +46,7 @@ def test_against_brute_force(spark):
     rows = [(d, t) for d, t in rows]
     check(spark, rows)
     check(spark, rows[:30], min_lines=4, min_words=100)
+    check(spark, rows, min_lines=3, min_words=100)
     empty = spark.createDataFrame([], DOCS)
     assert dedup_lines(empty).count() == 0
 
@@ -67,3 +68,29 @@ def test_blocks_are_intervals_of_the_suffix_array(spark):
             if len(places) > 1:
                 want |= {(*p, level): min(places) for p in places}
     assert {k: (v.doc_id, v.idx) for k, v in found.items()} == want
+
+
+def test_longest_earlier_runs(spark):
+    r = random.Random(5)
+    rows = [(i, "\n".join(r.choice("abc") for _ in range(r.randint(1, 12)))) for i in range(30)] + [(40, "a\n" * 37), (41, "a\n" * 20 + "b")]
+    seq = line_sequences(spark.createDataFrame([(*x, 1, "p", 2) for x in rows], DOCS))
+    lines = sorted(seq.collect())
+    text = {(d, i): x for d, t in rows for i, x in enumerate(t.split("\n"))}
+    docs = {}
+    for x in lines:
+        docs.setdefault(x.doc_id, []).append((x.pos, text[x.doc_id, x.idx]))
+    suffixes = sorted((p, tuple(t for _, t in docs[d][i:])) for d in docs for i, (p, _) in enumerate(docs[d]))
+    want = {}
+    for k, (p, s) in enumerate(suffixes):
+        for q, t in suffixes[:k]:
+            n = next((i for i, (x, y) in enumerate(zip(s, t, strict=False)) if x != y), min(len(s), len(t)))
+            if n > want.get(p, (0, 0))[0]:
+                want[p] = (n, q)
+    assert {x.pos: (x.run, x["first"]) for x in longest_copies(block_levels(seq)).collect()} == want
+
+
+def test_names_of_columns_that_clash(spark):
+    rows = [(i, "one line\nand the next\nlast %d" % i) for i in range(4)]
+    docs = spark.createDataFrame([(*x, 7, 8, 9) for x in rows], "doc_id long, text string, _d int, _h int, _n_deleted int")
+    got = dedup_lines(docs)
+    assert got.columns[:5] == docs.columns and sorted((r["doc_id"], r["_d"], r["_h"], r["_n_deleted"], r["__n_deleted"]) for r in got.collect()) == [(0, 7, 8, 9, 0), *[(i, 7, 8, 9, 2) for i in (1, 2, 3)]]
