@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import checkpoint, map_texts, mix, small_side, table, utf8, without, word_grams
+from .common import checkpoint, map_texts, mix, release, small_side, table, utf8, without, word_grams
 from .graph import ROWS_A_TASK, components
 
 #: A token of at least so many sets may count as frequent, ...
@@ -346,6 +346,8 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
     parts = max(6, math.ceil(comps.count() / ROWS_A_TASK))
     comps = checkpoint(comps.coalesce(parts))
+    del keys, shared, counts
+    release(docs.sparkSession)
 
     def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
         """``comps`` after the links (a, b)."""
@@ -384,6 +386,8 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         keys = seen.select("node", "n", "rare", F.explode("keys").alias("sig")).distinct()
         shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         again = checkpoint(keys.join(shared, "sig").coalesce(parts))
+        del sets, keys, shared, pairs, named
+        release(docs.sparkSession)
         few.append(again.where(F.col("c") < FREQUENT).select("sig", "node", "n", F.lit(1 << 30).alias("s")))
         many = again.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
     else:
@@ -405,6 +409,8 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         theirs = side(border, "b", "grp", "place", F.col("shared").alias("_tb"))
         pairs = pairs.union(mine.join(theirs, ["grp", "place"]).where(apart & (F.least("_ta", "_tb") >= common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     near = checkpoint(_pairs_where(pairs.distinct(), nodes, "low", _may_link(rule)))
+    del pairs
+    release(docs.sparkSession)
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     links = checkpoint(_pairs_where(near, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
     comps = merged(comps, links)
