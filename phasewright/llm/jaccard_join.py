@@ -17,6 +17,8 @@ from .graph import ROWS_A_TASK, components
 FREQUENT = 24
 #: ... but only the most frequent ones, so that the table has a fixed bound (2 MB).
 MOST_FREQUENT = 1 << 18
+#: Rows of 32 bytes that are sent to all tasks at most.
+_MOST_SENT = 200_000
 #: Sets by size: (classes that frequent tokens are dealt into, largest size). The
 #: smallest sets use single tokens only. Linked sets are of one range or of two
 #: neighbours; a set near an edge is of both.
@@ -133,8 +135,24 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, rule: Rule, frequent: np.ndar
         return {"node": node, "n": n, "tokens": sets} if frequent is None else _signed(node, n, sets, frequent, rule)
 
     def cut(wanted: DataFrame) -> DataFrame:
-        chosen = docs.join(small_side(wanted.select("rep", "node", "key")), F.col("_id").eqNullSafe(F.col("rep"))).select("node", "key", "_text")
-        return map_texts(chosen, ["node", "key", "_text"], "node long, n long, tokens array<long>" if frequent is None else _SIGNED, work)
+        wanted = wanted.select(F.xxhash64("rep").alias("_j"), "rep", "node", "key")
+        schema = "node long, n long, tokens array<long>" if frequent is None else _SIGNED
+        if wanted.count() > _MOST_SENT:
+            chosen = docs.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("node", "key", "_text")
+            return map_texts(chosen, ["node", "key", "_text"], schema, work)
+        # a few MB of numbers, sent to the tasks as arrays: tables to join by hash would take the driver many times that
+        sent = wanted.select("_j", "node", "key").toArrow()
+        j, node, key = sent.column(0).to_numpy(), sent.column(1).to_numpy(), np.array(sent.column(2).to_pylist(), object)
+        order = np.argsort(j, kind="stable")
+        j, node, key = j[order], node[order], key[order]
+
+        def look(x: dict[str, list]) -> dict[str, object]:
+            ids = np.array(x["_j"], np.int64)
+            first, last = np.searchsorted(j, ids), np.searchsorted(j, ids, "right")
+            hits = [(i, k) for i in np.flatnonzero(last > first).tolist() for k in range(first[i], last[i])]
+            return work({"_text": [x["_text"][i] for i, _ in hits], "node": [int(node[k]) for _, k in hits], "key": [key[k] for _, k in hits]})
+
+        return map_texts(docs.select(F.xxhash64("_id").alias("_j"), "_text"), ["_j", "_text"], schema, look)
 
     repeated = nodes.where("copies > 1")
     once = cut(nodes.where("copies = 1"))
