@@ -17,6 +17,8 @@ from .graph import ROWS_A_TASK, components
 FREQUENT = 24
 #: ... but only the most frequent ones, so that the table has a fixed bound (2 MB).
 MOST_FREQUENT = 1 << 18
+#: Pairs within frequent keys that are listed without another round.
+_FEW_PAIRS = 200_000
 #: Rows of 32 bytes that are sent to all tasks at most.
 _MOST_SENT = 200_000
 #: Sets by size: (classes that frequent tokens are dealt into, largest size). The
@@ -389,6 +391,10 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
     many = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
     for _ in range(rounds):
         many = checkpoint(open_keys(many).coalesce(parts))
+        by_key = many.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
+        if (by_key or 0) <= _FEW_PAIRS:
+            few.append(many.select("sig", "node", "n", F.lit(1 << 30).alias("s")))
+            break  # listed at once more cheaply than by another round
         # the sets of a key go by the one of fewest rare tokens, so that keys of one family make one group
         named = many.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node"))).alias("grp"))
         pairs = checkpoint(many.join(named, "sig").select("node", "n", "rare", "grp").distinct().coalesce(parts))
