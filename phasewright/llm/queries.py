@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP11_SQL, op11_phrase_collocations
 from .decontamination import op4_benchmark_decontamination
 from .html_extraction import op10_html_extraction
 from .jaccard_join import op6_ngram_jaccard_join
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_html_extraction": op10_html_extraction,
+        "op11_phrase_collocations": op11_phrase_collocations,
     }
 
 
@@ -37,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
+        "op11_phrase_collocations": OP11_SQL,
     }
