@@ -17,6 +17,8 @@ from .common import _BYTE, _POWERS, checkpoint, mix, small_side, table, text_bat
 SHARD = 1 << 22
 #: Bits of a filter of frequent names at most; a fuller filter lets more names through, never fewer.
 MOST_BITS = 1 << 27
+#: Bits that are cut off names where they are only counted to be filtered.
+SHORTER = np.uint64(24)
 
 # Lower-case letters; tabs become spaces, piece marks become line ends.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -76,8 +78,8 @@ def word_names(words: pa.BinaryArray, salts: np.ndarray) -> np.ndarray:
         return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) + salts)
 
 
-def pair_names(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Names of pairs of neighbouring words."""
+def longer_names(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Names of phrases of one word more, from the names of the phrases before and of that word."""
     with np.errstate(over="ignore"):
         return mix(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
@@ -148,7 +150,8 @@ class Filter:
 
     @staticmethod
     def spots(names: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        return names & mask, (names >> np.uint64(32)) * np.uint64(0x9E3779B1) & mask
+        mixed = mix(names >> SHORTER)
+        return mixed & mask, mixed >> np.uint64(32) & mask
 
 
 def _salt(lang: str) -> np.uint64:
@@ -229,52 +232,82 @@ def count_words(docs: DataFrame) -> DataFrame:
     return states.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
 
 
-def count_phrases(docs: DataFrame, shortest: int, longest: int, *, words: Filter, pairs: Filter | None = None) -> DataFrame:
-    """(lang, phrase, f): occurrences of each phrase of ``shortest`` (2 or more) to ``longest`` words in ``docs`` (lang, text).
+def places(w: Words, names: list[str], depth: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length up to ``depth`` where phrases of it end whose words, pairs ... may be frequent, and all words' names of that length."""
+    word = word_names(w.vocabulary, np.array([_salt(x) for x in names], np.uint64)[w.lang])
+    ok = filters[0].holds(word)[w.at]
+    name = word = word[w.at]
+    yield ok, name
+    for d in range(2, depth + 1):
+        ok = ok & np.concatenate(([False], ok[:-1]))[: len(ok)] & w.follows
+        name = longer_names(np.concatenate((name[:1], name[:-1])), word)
+        if d <= len(filters):
+            at = np.flatnonzero(ok)
+            ok[at] = filters[d - 1].holds(name[at])
+        yield ok, name
+
+
+def count_names(docs: DataFrame, size: int, filters: list[Filter]) -> DataFrame:
+    """(name, n): occurrences of the phrases of ``size`` words that pass the filters of shorter ones, by short names.
+
+    Two phrases of one short name are counted together, so a count is too high
+    at worst.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # bits, MOST_BITS of each at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, names in shards(batches, size):
+            *_, (ok, name) = places(w, names, size, sent.value)
+            found, n = np.unique(name[ok & w.counted] >> SHORTER, return_counts=True)
+            for at in range(0, len(found), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000], pa.int64())], names=["name", "n"])
+
+    text_batches(docs.sparkSession)
+    return docs.select("lang", "text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def count_phrases(docs: DataFrame, longest: int, filters: list[Filter]) -> DataFrame:
+    """(lang, phrase, f): occurrences of phrases of two to ``longest`` words that pass the filters of their words, pairs ...
 
     Every task makes automata of its own texts and gives a row for each state,
-    which stands for all its phrases; these are added up over all tasks. Phrases
-    with a word outside ``words``, or a pair outside ``pairs``, may be left out.
+    which stands for all its phrases; these are added up over all tasks.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, pairs))  # bits, MOST_BITS of each at most
+    sent = spark.sparkContext.broadcast(filters)  # bits, MOST_BITS of each at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, joined = sent.value
         for w, names in shards(batches, longest):
-            word = word_names(w.vocabulary, np.array([_salt(x) for x in names], np.uint64)[w.lang])
-            valid = [known.holds(word)[w.at]]
-            for d in range(2, longest + 1):
-                both = valid[-1] & np.concatenate((valid[-1][:0], [False], valid[-1][:-1]))[: len(w.at)] & w.follows
-                if d == 2 and joined is not None:
-                    ends = np.flatnonzero(both)
-                    both[ends] = joined.holds(pair_names(word[w.at[ends - 1]], word[w.at[ends]]))
-                valid.append(both)
-            if not valid[shortest - 1].any():
-                continue
-            a = automaton(w.at, valid, w.counted)
-            for size in range(shortest, longest + 1):
+            a = automaton(w.at, [ok for ok, _ in places(w, names, longest, sent.value)], w.counted)
+            for size in range(2, longest + 1):
                 rows = np.flatnonzero((a.longest == size) & (a.ends > 0))
                 last = a.last[rows]
-                yield from _rows(names, w.lang[w.at[last]], w.phrases(last, size), np.maximum(a.shortest[rows], shortest), a.ends[rows])
+                yield from _rows(names, w.lang[w.at[last]], w.phrases(last, size), np.maximum(a.shortest[rows], 2), a.ends[rows])
 
     text_batches(spark)
     states = docs.select("lang", "text").mapInArrow(run, _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
-    if longest > shortest:
-        split = F.split("phrase", " ")
-        suffixes = F.transform(F.sequence(F.col("lowest"), F.size(split)), lambda m: F.array_join(F.slice(split, -m, m), " "))
-        states = states.select("lang", F.explode(suffixes).alias("phrase"), "n")
-    return states.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    split = F.split("phrase", " ")
+    suffixes = F.transform(F.sequence(F.col("lowest"), F.size(split)), lambda m: F.array_join(F.slice(split, -m, m), " "))
+    return states.select("lang", F.explode(suffixes).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+
+def named(words: DataFrame) -> DataFrame:
+    """(name): the names of words (lang, phrase)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salts = np.array([_salt(x) for x in batch.column(0).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word_names(batch.column(1).cast(pa.binary()), salts) >> SHORTER, pa.uint64()).cast(pa.int64())], names=["name"])
 
+    return words.select("lang", "phrase").mapInArrow(run, "name long")
 
-def name_filter(frequent: DataFrame, size: int) -> Filter:
-    """A filter of the phrases (lang, phrase) of ``size`` words, 1 or 2; 16 bits a name, at most ``MOST_BITS``.
+
+def name_filter(frequent: DataFrame) -> Filter:
+    """A filter of short names (name); 16 bits a name, at most ``MOST_BITS``.
 
     Tasks make the bits, equal places are joined before they are collected.
     """
-    spark = frequent.sparkSession
-    bits = 1 << 10
-    while bits < 16 * frequent.count() and bits < MOST_BITS:
+    bits, count = 1 << 10, frequent.count()
+    while bits < 16 * count and bits < MOST_BITS:
         bits *= 2
     mask = np.uint64(bits - 1)
 
@@ -282,17 +315,13 @@ def name_filter(frequent: DataFrame, size: int) -> Filter:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            salts = np.array([_salt(x) for x in batch.column(0).to_pylist()], np.uint64)
-            parts = pc.split_pattern(batch.column(1).cast(pa.binary()), b" ").flatten()
-            name = [word_names(parts.take(np.arange(i, len(parts), size)), salts) for i in range(size)]
-            found = name[0] if size == 1 else pair_names(*name)
-            spots = np.unique(np.concatenate(Filter.spots(found, mask)))
+            spots = np.unique(np.concatenate(Filter.spots(batch.column(0).to_numpy().view(np.uint64) << SHORTER, mask)))
             slot = (spots >> np.uint64(6)).astype(np.int64)
             at = np.flatnonzero(np.diff(slot, prepend=-1))
             joined = np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), at)
             yield pa.RecordBatch.from_arrays([pa.array(slot[at]), pa.array(joined.view(np.int64))], names=["slot", "bits"])
 
-    rows = frequent.select("lang", "phrase").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = frequent.select("name").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[rows["slot"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(out)
@@ -309,10 +338,11 @@ def _last_words(words: Column, k: Column) -> Column:
 def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: int = 2000, share: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by their weakest cut.
 
-    Counts grow in three rounds, words, pairs, and longer phrases; only words and
-    pairs that are frequent in all of the language go into longer ones, since a
-    phrase is no more frequent than its parts. Filters between rounds are bits of
-    bounded size; counts themselves are exact. A phrase is subsumed if a longer one
+    Counts are made in rounds of words, pairs, triples, and all phrases; only what is
+    frequent in all of a language goes into longer ones, since a phrase is no more
+    frequent than its parts. Pairs and triples are only counted by short names at first,
+    which may count too much. Filters between rounds are bits of
+    bounded size, which may let too much through; words and phrases are counted exactly. A phrase is subsumed if a longer one
     that holds it has ``share`` hundredths of its count. At 100, where both counts
     are equal, so is that of a phrase of one word more: before it, whose suffix
     link leads to it, or after it. Only other shares look at all sub-phrases.
@@ -325,11 +355,10 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: in
     words = checkpoint(count_words(rows).where((F.col("f") >= least) | (F.col("phrase") == "")), 10_000)
     totals = words.where("phrase = ''").select("lang", F.col("f").alias("n"))
     words = words.where("phrase <> ''")
-    known = name_filter(words, 1)
-    pairs = checkpoint(count_phrases(rows, 2, 2, words=known).where(F.col("f") >= least), 10_000)
-    counts = words.unionByName(pairs)
-    if longest > 2:
-        counts = counts.unionByName(checkpoint(count_phrases(rows, 3, longest, words=known, pairs=name_filter(pairs, 2)).where(F.col("f") >= least), 10_000))
+    filters = [name_filter(named(words))]
+    for size in range(2, min(longest, 4)):  # longer ones are few by then
+        filters.append(name_filter(checkpoint(count_names(rows, size, filters).where(F.col("n") >= least).select("name"), 10_000)))
+    counts = words.unionByName(checkpoint(count_phrases(rows, longest, filters).where(F.col("f") >= least), 10_000))
     split = F.split("phrase", " ")
     candidates = counts.withColumn("words", split).where(F.size("words") >= 2).select("lang", "phrase", "words", F.col("f").alias("a"))
     # subsumed phrases
@@ -342,7 +371,7 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: in
     longer = candidates.where(m > 2).select("lang", F.explode(F.array_distinct(inner)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_most"))
     kept = candidates.join(longer, ["lang", "phrase"], "left").where(F.col("_most").isNull() | (F.col("_most") * 100 < F.col("a") * share)).drop("_most")
     # every cut's parts are as frequent as the phrase, so their counts are known
-    parts = small_side(counts.select("lang", F.col("phrase").alias("_part"), F.col("f").alias("_f")))
+    parts = small_side(counts.select("lang", F.col("phrase").alias("_part"), F.col("f").alias("_f")), 50_000)
     cuts = kept.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), m - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _first_words(F.col("words"), F.col("k")).alias("_first"), _last_words(F.col("words"), m - F.col("k")).alias("_rest"))
     cuts = cuts.join(parts.select("lang", F.col("_part").alias("_first"), F.col("_f").alias("l")), ["lang", "_first"])

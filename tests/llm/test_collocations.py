@@ -105,8 +105,13 @@ def test_long_texts_in_parts(monkeypatch):
 
 def test_filters_lose_nothing(spark):
     words = [f"w{i}" for i in range(3000)]
-    one = c.name_filter(spark.createDataFrame([("en", w) for w in words], "lang string, phrase string"), 1)
+    one = c.name_filter(c.named(spark.createDataFrame([("en", w) for w in words], "lang string, phrase string")))
     names = c.word_names(pa.array([w.encode() for w in words]), np.full(len(words), c._salt("en")))
     assert one.holds(names).all() and one.holds(c.mix(names)).mean() < 0.1
-    two = c.name_filter(spark.createDataFrame([("en", f"{a} {b}") for a, b in zip(words, words[1:], strict=False)], "lang string, phrase string"), 2)
-    assert two.holds(c.pair_names(names[:-1], names[1:])).all()
+    text = " ".join(words[i % 3000] for i in range(4000))
+    docs = spark.createDataFrame([(i, text) for i in ("en", "de")], "lang string, text string")
+    both = c.name_filter(c.named(docs.selectExpr("lang", "explode(split(text, ' ')) AS phrase").distinct()))
+    got = c.count_names(docs, 2, [both])
+    assert got.count() == 6000 and {r.n for r in got.collect()} == {1, 2}
+    two = c.name_filter(got)
+    assert two.holds(c.longer_names(names[:-1], names[1:])).all()
