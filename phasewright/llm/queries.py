@@ -17,6 +17,8 @@ from .quality import op1_quality_classifier
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op2_token_counts
 from .topk import OP5_SQL, op5_exact_top_k
+from .toxicity import op13_toxicity
+from .yinyang import OP12_SQL, op12_centroid_clusters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_license_scan": op9_license_scan,
         "op10_html_extraction": op10_html_extraction,
         "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_toxicity": op13_toxicity,
     }
 
 
@@ -40,4 +44,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
         "op11_phrase_collocations": OP11_SQL,
+        "op12_centroid_clusters": OP12_SQL,
     }
