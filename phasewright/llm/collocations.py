@@ -14,11 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .common import _BYTE, _POWERS, checkpoint, mix, small_side, table, text_batches
 
 #: Bytes of text from which one automaton is made.
-SHARD = 1 << 22
+SHARD = 1 << 21
 #: Bits of a filter of frequent names at most; a fuller filter lets more names through, never fewer.
 MOST_BITS = 1 << 27
-#: Bits that are cut off names where they are only counted to be filtered.
-SHORTER = np.uint64(24)
 
 # Lower-case letters; tabs become spaces, piece marks become line ends.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -150,7 +148,7 @@ class Filter:
 
     @staticmethod
     def spots(names: np.ndarray, mask: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-        mixed = mix(names >> SHORTER)
+        mixed = mix(names)
         return mixed & mask, mixed >> np.uint64(32) & mask
 
 
@@ -207,14 +205,11 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[Word
         yield numbered(held), [*held]
 
 
-_COUNTS = "lang string, phrase binary, lowest int, n long"
-
-
-def _rows(names: list[str], code: np.ndarray, phrases: pa.BinaryArray, lowest: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(names: list[str], code: np.ndarray, phrases: pa.BinaryArray, more: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(phrases), 50_000):
         part = slice(at, at + 50_000)
         lang = pa.DictionaryArray.from_arrays(pa.array(code[part], pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([lang, phrases[part], pa.array(lowest[part], pa.int32()), pa.array(n[part], pa.int64())], names=["lang", "phrase", "lowest", "n"])
+        yield pa.RecordBatch.from_arrays([lang, phrases[part], *(pa.array(v[part], pa.int64()) for v in more.values())], names=["lang", "phrase", *more])
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -223,71 +218,96 @@ def count_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, names in shards(batches, 1):
             n = np.bincount(w.at, minlength=len(w.vocabulary))
-            yield from _rows(names, w.lang, w.vocabulary, np.ones(len(n)), n)
-            totals = np.bincount(w.lang, n, len(names))
-            yield from _rows(names, np.arange(len(names)), pa.array([b""] * len(names)), np.ones(len(names)), totals)
+            yield from _rows(names, w.lang, w.vocabulary, {"n": n})
+            yield from _rows(names, np.arange(len(names)), pa.array([b""] * len(names)), {"n": np.bincount(w.lang, n, len(names))})
 
     text_batches(docs.sparkSession)
-    states = docs.select("lang", "text").mapInArrow(run, _COUNTS)
+    states = docs.select("lang", "text").mapInArrow(run, "lang string, phrase binary, n long")
     return states.groupBy("lang", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
 
 
-def places(w: Words, names: list[str], depth: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length up to ``depth`` where phrases of it end whose words, pairs ... may be frequent, and all words' names of that length."""
+def places(w: Words, names: list[str], depth: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length up to ``depth`` where phrases of it end whose words, pairs ... may be frequent, all words' names of that length, and marks of their neighbours.
+
+    A mark is 16 bits of the words before and behind a phrase, of its own piece.
+    """
     word = word_names(w.vocabulary, np.array([_salt(x) for x in names], np.uint64)[w.lang])
     ok = filters[0].holds(word)[w.at]
     name = word = word[w.at]
-    yield ok, name
-    for d in range(2, depth + 1):
-        ok = ok & np.concatenate(([False], ok[:-1]))[: len(ok)] & w.follows
-        name = longer_names(np.concatenate((name[:1], name[:-1])), word)
-        if d <= len(filters):
-            at = np.flatnonzero(ok)
-            ok[at] = filters[d - 1].holds(name[at])
-        yield ok, name
+    none = np.zeros(1, np.uint64)
+    behind = np.concatenate((np.where(w.follows[1:], word[1:], 0), none))[: len(word)]
+    before = np.where(w.follows, np.concatenate((none, word[:-1]))[: len(word)], 0)
+    for d in range(1, depth + 1):
+        if d > 1:
+            ok = ok & np.concatenate(([False], ok[:-1]))[: len(ok)] & w.follows
+            name = longer_names(np.concatenate((name[:1], name[:-1])), word)
+            before = np.concatenate((none, before[:-1]))[: len(word)]
+            if d <= len(filters):
+                at = np.flatnonzero(ok)
+                ok[at] = filters[d - 1].holds(name[at])
+        yield ok, name, longer_names(before, behind) >> np.uint64(48)
+
+
+def count_phrases(docs: DataFrame, shortest: int, longest: int, filters: list[Filter], *, reach: int) -> DataFrame:
+    """(name, size, f, mark): occurrences of phrases of ``shortest`` to ``longest`` words that pass the filters of their words, pairs ..., by name.
+
+    Every task makes automata of its own texts; their states' numbers of ends are
+    added up over its texts, and then over all tasks. ``mark`` is the least mark of
+    some occurrences, by which one is found again; ``reach`` is the most words of
+    any round, so that long texts are cut alike in all of them.
+    """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(filters)  # bits, MOST_BITS of each at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for w, names in shards(batches, reach + 1):
+            levels = list(places(w, names, longest, sent.value))
+            a = automaton(w.at, [ok for ok, _, _ in levels], w.counted)
+            for size in range(shortest, longest + 1):
+                rows = np.flatnonzero((a.shortest <= size) & (size <= a.longest) & (a.ends > 0))
+                last, (_, name, mark) = a.last[rows], levels[size - 1]
+                held.append(pa.table({"name": name[last].view(np.int64), "size": np.full(len(rows), size, np.int32), "n": a.ends[rows], "mark": mark[last].astype(np.int32)}))
+            if sum(t.num_rows for t in held) > _HELD:
+                held = [_added(held)]
+                if held[0].num_rows > _HELD // 2:
+                    yield from held.pop().to_batches(50_000)
+        if held:
+            yield from _added(held).to_batches(50_000)
 
-def count_names(docs: DataFrame, size: int, filters: list[Filter]) -> DataFrame:
-    """(name, n): occurrences of the phrases of ``size`` words that pass the filters of shorter ones, by short names.
+    text_batches(spark)
+    rows = docs.select("lang", "text").mapInArrow(run, "name long, size int, n long, mark int")
+    return rows.groupBy("name", "size").agg(F.sum("n").alias("f"), F.min("mark").alias("mark"))
 
-    Two phrases of one short name are counted together, so a count is too high
-    at worst.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # bits, MOST_BITS of each at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, names in shards(batches, size):
-            *_, (ok, name) = places(w, names, size, sent.value)
-            found, n = np.unique(name[ok & w.counted] >> SHORTER, return_counts=True)
-            for at in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[at : at + 50_000].view(np.int64)), pa.array(n[at : at + 50_000], pa.int64())], names=["name", "n"])
+#: Rows of counts that a task holds before it sends them.
+_HELD = 600_000
 
-    text_batches(docs.sparkSession)
-    return docs.select("lang", "text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """One row for each name and size."""
+    out = pa.concat_tables(tables).group_by(["name", "size"]).aggregate([("n", "sum"), ("mark", "min")])
+    return out.rename_columns({"n_sum": "n", "mark_min": "mark"}).select(["name", "size", "n", "mark"])
 
-def count_phrases(docs: DataFrame, longest: int, filters: list[Filter]) -> DataFrame:
-    """(lang, phrase, f): occurrences of phrases of two to ``longest`` words that pass the filters of their words, pairs ...
 
-    Every task makes automata of its own texts and gives a row for each state,
-    which stands for all its phrases; these are added up over all tasks.
-    """
+def spelt(docs: DataFrame, longest: int, filters: list[Filter], wanted: Filter) -> DataFrame:
+    """(lang, phrase, name, size): the words of phrases of ``wanted``, which holds each name with one mark; seldom of others."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(filters)  # bits, MOST_BITS of each at most
+    sent = spark.sparkContext.broadcast((filters, wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for w, names in shards(batches, longest):
-            a = automaton(w.at, [ok for ok, _ in places(w, names, longest, sent.value)], w.counted)
-            for size in range(2, longest + 1):
-                rows = np.flatnonzero((a.longest == size) & (a.ends > 0))
-                last = a.last[rows]
-                yield from _rows(names, w.lang[w.at[last]], w.phrases(last, size), np.maximum(a.shortest[rows], 2), a.ends[rows])
+        known, marked = sent.value
+        for w, names in shards(batches, longest + 1):
+            for size, (ok, name, mark) in enumerate(places(w, names, longest, known), 1):
+                at = np.flatnonzero(ok) if size > 1 else np.empty(0, np.int64)
+                at = at[marked.holds(longer_names(name[at], mark[at]))]
+                first = np.unique(name[at], return_index=True)[1]
+                at = at[first]
+                yield from _rows(names, w.lang[w.at[at]], w.phrases(at, size), {"name": name[at].view(np.int64), "size": np.full(len(at), size)})
 
     text_batches(spark)
-    states = docs.select("lang", "text").mapInArrow(run, _COUNTS).withColumn("phrase", F.col("phrase").cast("string"))
-    split = F.split("phrase", " ")
-    suffixes = F.transform(F.sequence(F.col("lowest"), F.size(split)), lambda m: F.array_join(F.slice(split, -m, m), " "))
-    return states.select("lang", F.explode(suffixes).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase binary, name long, size long")
+    return rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "name", F.col("size").cast("int").alias("size")).distinct()
 
 
 def named(words: DataFrame) -> DataFrame:
@@ -296,32 +316,35 @@ def named(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             salts = np.array([_salt(x) for x in batch.column(0).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(word_names(batch.column(1).cast(pa.binary()), salts) >> SHORTER, pa.uint64()).cast(pa.int64())], names=["name"])
+            yield pa.RecordBatch.from_arrays([pa.array(word_names(batch.column(1).cast(pa.binary()), salts).view(np.int64))], names=["name"])
 
     return words.select("lang", "phrase").mapInArrow(run, "name long")
 
 
-def name_filter(frequent: DataFrame) -> Filter:
-    """A filter of short names (name); 16 bits a name, at most ``MOST_BITS``.
+def name_filter(names: DataFrame) -> Filter:
+    """A filter of names (name), with their marks if there is a column ``mark``; 16 bits a name, at most ``MOST_BITS``.
 
     Tasks make the bits, equal places are joined before they are collected.
     """
-    bits, count = 1 << 10, frequent.count()
+    bits, count = 1 << 10, names.count()
     while bits < 16 * count and bits < MOST_BITS:
         bits *= 2
     mask = np.uint64(bits - 1)
+    marked = "mark" in names.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            spots = np.unique(np.concatenate(Filter.spots(batch.column(0).to_numpy().view(np.uint64) << SHORTER, mask)))
+            name = batch.column(0).to_numpy().view(np.uint64)
+            name = longer_names(name, batch.column(1).to_numpy().astype(np.uint64)) if marked else name
+            spots = np.unique(np.concatenate(Filter.spots(name, mask)))
             slot = (spots >> np.uint64(6)).astype(np.int64)
             at = np.flatnonzero(np.diff(slot, prepend=-1))
             joined = np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), at)
             yield pa.RecordBatch.from_arrays([pa.array(slot[at]), pa.array(joined.view(np.int64))], names=["slot", "bits"])
 
-    rows = frequent.select("name").mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    rows = names.select("name", *["mark"] * marked).mapInArrow(run, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[rows["slot"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return Filter(out)
@@ -338,14 +361,16 @@ def _last_words(words: Column, k: Column) -> Column:
 def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: int = 2000, share: int = 100, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases by their weakest cut.
 
-    Counts are made in rounds of words, pairs, triples, and all phrases; only what is
-    frequent in all of a language goes into longer ones, since a phrase is no more
-    frequent than its parts. Pairs and triples are only counted by short names at first,
-    which may count too much. Filters between rounds are bits of
-    bounded size, which may let too much through; words and phrases are counted exactly. A phrase is subsumed if a longer one
-    that holds it has ``share`` hundredths of its count. At 100, where both counts
-    are equal, so is that of a phrase of one word more: before it, whose suffix
-    link leads to it, or after it. Only other shares look at all sub-phrases.
+    Counts are made in rounds of words, pairs, triples, and all longer phrases; only
+    what is frequent in all of a language goes into longer ones, since a phrase is
+    no more frequent than its parts. Filters between rounds are bits of bounded
+    size, which may let too much through. Phrases are counted by names of 64 bits,
+    and spelt by a last round over the texts, once they are known to be frequent.
+
+    A phrase is subsumed if a longer one that holds it has ``share`` hundredths of
+    its count. At 100, where both counts are equal, so is that of a phrase of one
+    word more: before it, whose suffix link leads to it, or after it. Only other
+    shares look at all sub-phrases.
 
     A null text is empty, a null language ``und``, together with rows that say so.
     Repeated rows count each; ties go as the contract says, by the phrase's bytes
@@ -355,10 +380,17 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: in
     words = checkpoint(count_words(rows).where((F.col("f") >= least) | (F.col("phrase") == "")), 10_000)
     totals = words.where("phrase = ''").select("lang", F.col("f").alias("n"))
     words = words.where("phrase <> ''")
-    filters = [name_filter(named(words))]
-    for size in range(2, min(longest, 4)):  # longer ones are few by then
-        filters.append(name_filter(checkpoint(count_names(rows, size, filters).where(F.col("n") >= least).select("name"), 10_000)))
-    counts = words.unionByName(checkpoint(count_phrases(rows, longest, filters).where(F.col("f") >= least), 10_000))
+    filters, counts = [name_filter(named(words))], None
+    for size in range(2, min(longest, 4) + 1):
+        most = longest if size == 4 else size  # longer ones are few by then
+        found = checkpoint(count_phrases(rows, size, most, filters, reach=longest).where(F.col("f") >= least), 10_000)
+        counts = found if counts is None else counts.unionByName(found)
+        if size < most or size == longest:
+            break
+        filters.append(name_filter(found.select("name")))
+    spellings = spelt(rows, longest, filters, name_filter(counts.select("name", "mark")))
+    phrases = checkpoint(spellings.join(counts.select("name", "size", "f"), ["name", "size"]).select("lang", "phrase", "f"), 10_000)
+    counts = words.unionByName(phrases)
     split = F.split("phrase", " ")
     candidates = counts.withColumn("words", split).where(F.size("words") >= 2).select("lang", "phrase", "words", F.col("f").alias("a"))
     # subsumed phrases

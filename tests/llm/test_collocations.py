@@ -111,7 +111,10 @@ def test_filters_lose_nothing(spark):
     text = " ".join(words[i % 3000] for i in range(4000))
     docs = spark.createDataFrame([(i, text) for i in ("en", "de")], "lang string, text string")
     both = c.name_filter(c.named(docs.selectExpr("lang", "explode(split(text, ' ')) AS phrase").distinct()))
-    got = c.count_names(docs, 2, [both])
-    assert got.count() == 6000 and {r.n for r in got.collect()} == {1, 2}
-    two = c.name_filter(got)
+    got = c.count_phrases(docs, 2, 2, [both], reach=5)
+    assert got.count() == 6000 and {r.f for r in got.collect()} == {1, 2}
+    two = c.name_filter(got.select("name"))
     assert two.holds(c.longer_names(names[:-1], names[1:])).all()
+    some = got.where("f = 2").orderBy("name").limit(50)
+    spelt = c.spelt(docs, 5, [both, two], c.name_filter(some.select("name", "mark"))).join(some, ["name", "size"]).collect()
+    assert len(spelt) == 50 and {r.phrase for r in spelt} <= {f"w{i} w{i + 1}" for i in range(1000)}
