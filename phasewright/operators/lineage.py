@@ -6,12 +6,28 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; on one machine, where it is unset, a temporary one.
+
+    On a cluster a machine's own folder can't be read by others: there a missing setting is an error.
+    """
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        named = os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}")
+        context.setCheckpointDir(named)
+    return named
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` kept in the shared folder that ``spark.checkpoint.dir`` names; a temporary one only where it is unset."""
+    """``df`` kept in the shared folder of ``shared_folder``."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import even_hash, realigned, reference_span
+from .checked import checked_join
 from .intervals import point_join, read_regions, region_genotype
 from .sequences import change_points, ends
 
@@ -87,22 +88,38 @@ def best_route(routes: DataFrame) -> DataFrame:
     return rows.groupBy("qname").agg(F.array_join(F.transform(listed, lambda r: F.concat(r.route, F.lit(":"), r.span.cast("string"))), ";").alias("listing"), F.count(F.lit(1)).alias("alignments"), F.max_by("route", F.struct("span", (-F.col("aln_id")).alias("_o"))).alias("best"))
 
 
-def scaffolds(pairs: DataFrame, sequences: DataFrame, breaks: DataFrame | None = None, *, group: str = "group", separator: str = "N" * 160) -> DataFrame:
-    """(group, sequence): contigs in order, reversed where they lie so, with a separator between them.
+#: The lines between two contigs of a scaffold.
+SEPARATOR = ("N" * 80, "N" * 80)
 
-    ``pairs``: group, rank, contig, reverse. A contig split at a break (contig,
-    break_pos) is named with sA or sB and takes the part of that side.
+
+def scaffold_chunks(pairs: DataFrame, sequences: DataFrame, breaks: DataFrame | None = None, *, group: str = "group", compat: bool = False) -> DataFrame:
+    """(group, rank, part, bases): scaffolds as rows in the order of rank and part; contigs as they lie, with ``SEPARATOR`` between them.
+
+    ``pairs``: group, rank, contig, reverse. ``sequences``: id, start, bases, the
+    parts of each contig (``sources.fasta_lines``); a scaffold is never one value.
+    A contig turned round has its parts in falling order, each turned.
+
+    A contig split at ``breaks`` (contig, break_pos) is named with sA or sB: the
+    first ``break_pos`` bases, or those from there on. With ``compat`` split
+    contigs are never turned, as their flag is looked for by the name before the split.
+    A contig without sequence, or a split one without a break, makes the query fail.
     """
-    from ..functions import complement_reverse
-
-    base = F.regexp_replace("contig", "s[AB]$", "")
-    s = sequences.select(F.col("id").alias("_id"), "sequence")
-    whole = pairs.join(s, F.col("contig") == F.col("_id")).select(group, "rank", "reverse", "sequence")
-    if breaks is not None:
-        b = breaks.select(F.col("contig").alias("_bc"), "break_pos")
-        part = pairs.where(F.col("contig").rlike("s[AB]$")).join(s, base == F.col("_id")).join(b, F.col("_id") == F.col("_bc"))
-        cut = F.when(F.col("contig").endswith("sA"), F.substr("sequence", F.lit(1), F.col("break_pos") - 1)).otherwise(F.substr("sequence", F.col("break_pos")))
-        whole = whole.unionByName(part.select(group, "rank", "reverse", cut.alias("sequence")))
-    turned = whole.select(group, "rank", F.when(F.col("reverse"), complement_reverse("sequence")).otherwise(F.col("sequence")).alias("_s"))
-    rows = F.sort_array(F.collect_list(F.struct("rank", "_s")))
-    return turned.groupBy(group).agg(F.array_join(F.transform(rows, lambda r: r["_s"]), separator).alias("sequence"))
+    from ..functions import complement_reverse_lower
+
+    half = F.when(F.col("contig").rlike("s[AB]$"), F.substring("contig", -1, 1))
+    rows = pairs.select(F.col(group).alias("group"), "rank", "reverse", half.alias("_half"), F.when(half.isNotNull(), F.regexp_replace("contig", "s[AB]$", "")).otherwise(F.col("contig")).alias("id"))
+    cuts = sequences.sparkSession.createDataFrame([], "contig string, break_pos long") if breaks is None else breaks
+    rows = checked_join(rows, cuts.select(F.col("contig").alias("id"), F.col("break_pos").cast("long").alias("_at")).dropDuplicates(["id"]), ["id"], what="split contig without a break", only=F.col("_half").isNotNull())
+    there = sequences.select("id").distinct().withColumn("_there", F.lit(True))
+    rows = checked_join(rows, there, ["id"], what="contig without sequence").drop("_there")
+    parts = rows.join(sequences.select("id", "start", "bases"), "id")
+    at, n = F.col("_at") - F.col("start"), F.length("bases")
+    kept = F.when(F.col("_half") == "A", F.substr("bases", F.lit(1), F.greatest(F.least(at, n), F.lit(0)).cast("int"))).when(F.col("_half") == "B", F.substr("bases", F.greatest(at + 1, F.lit(1)).cast("int"))).otherwise(F.col("bases"))
+    turned = F.col("reverse") & F.col("_half").isNull() if compat else F.col("reverse")
+    body = parts.select("group", "rank", turned.alias("_t"), "start", kept.alias("_b")).where(F.length("_b") > 0)
+    body = body.select("group", "rank", F.when(F.col("_t"), -F.col("start") - 1).otherwise(F.col("start")).alias("part"), F.when(F.col("_t"), complement_reverse_lower("_b")).otherwise(F.col("_b")).alias("bases"))
+    first = rows.groupBy("group").agg(F.min("rank").alias("_first"))
+    between = rows.select("group", "rank").join(first, "group").where(F.col("rank") > F.col("_first"))
+    lowest = F.lit(-(2**63)).cast("long")  # before every part of its contig
+    lines = between.select("group", "rank", F.posexplode(F.array(*map(F.lit, SEPARATOR))).alias("_i", "bases")).select("group", "rank", (lowest + F.col("_i")).alias("part"), "bases")
+    return lines.unionByName(body).withColumnRenamed("group", group)

@@ -44,10 +44,10 @@ def phase_markers(markers: DataFrame, cell_ids: DataFrame, counts: DataFrame, si
     calls = sequences.accepted_breaks(seq, members, min_score=min_score)
     runs = sequences.segments(seq).join(members.select("contig", "cell_id", "cluster"), ["contig", "cell_id"])
     gate = sequences.gates(calls)
-    left = gate.where("kind = 'left-sequence'").select("contig", "pattern")
+    ends = gate.groupBy("contig").agg(*[F.min(F.when(F.col("kind") == f"{side}-sequence", F.col("pattern"))).alias(f"{side}_pattern") for side in ("left", "right")])
     return Phased(
         haplotypes=phase.join(known.select("contig", "idx", "pos"), ["contig", "idx"]), symbols=seq, clusters=members, calls=calls,
-        regions=sequences.region_coordinates(runs, known, sizes), gates=gate, statistics=phasing.cluster_statistics(seq, members), edges=maps.contig_edges(left),
+        regions=sequences.region_coordinates(runs, known, sizes), gates=gate, statistics=phasing.cluster_statistics(seq, members), edges=maps.contig_edges(ends),
     )
 
 

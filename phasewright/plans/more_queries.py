@@ -230,21 +230,6 @@ def dimer_phases(spark, d):
     return phasing.dimer_phase(phasing.called(m, n.select("cell_id"), n).join(m.select("contig", "pos", "idx"), ["contig", "pos"]))
 
 
-@_query()
-def best_map_slots(spark, d):
-    """The best slot of each marker, in either phase."""
-    g = _whole_gmap(spark, d)
-    m = g.select(F.col("ord").alias("marker"), F.col("pattern").alias("marker_pattern"))
-    return maps.best_slots(m, maps.slots(g))
-
-
-@_query()
-def completed_maps(spark, d):
-    """Gates put into their maps one after the other."""
-    g = _whole_gmap(spark, d).select(F.col("group_id").cast("string").alias("group_id"), F.col("ord").cast("int").alias("ord"), F.col("contig").cast("string").alias("contig"), "side", "pattern")
-    return maps.completed_map(g.where("ord % 4 <> 0"), g.where("ord % 4 = 0").drop("ord"))
-
-
 @_query()
 def routed_reads(spark, d):
     """Routes of alignments."""

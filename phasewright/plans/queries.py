@@ -441,16 +441,6 @@ def refined_crossovers(spark, d):
     return recombination.refined_breakpoints(points, s, keys=["cell_id"])
 
 
-@_query()
-def contig_edges(spark, d):
-    """Best partner of each contig."""
-    p = sequences.packed(_seq(spark, d), keys=["contig", "cell_id"], order="idx")
-    # whole patterns, filled to the longest with places that are not known
-    longest = F.broadcast(p.agg(F.max(F.length("pattern")).alias("_n")))
-    p = p.crossJoin(longest).select(F.concat_ws("_", "contig", "cell_id").alias("contig"), F.upper(F.rpad("pattern", F.col("_n"), F.lit("u"))).alias("pattern"))
-    return maps.contig_edges(p)
-
-
 @_query()
 def phased_haplotypes(spark, d):
     """Markers, calls, phase and clusters, end to end."""

@@ -9,8 +9,12 @@ file, which a hidden line number of the file's splits keeps.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import is_reverse, path_part, read_end, sam_tag, split_tokens
@@ -52,9 +56,37 @@ def base_counts(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, *, id_col: str = "cell_id") -> DataFrame:
-    """(cell_id, path): the files of a list, numbered from 1 in its order."""
+    """(cell_id, path): the files of a list, numbered from 1 in its order. A list without files is an error."""
     rows = ordered_lines(spark, path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
-    return rows.select(F.row_number().over(W.orderBy("at")).alias(id_col), F.trim("value").alias("path"))
+    out = rows.select(F.row_number().over(W.orderBy("at")).alias(id_col), F.trim("value").alias("path"))
+    if out.isEmpty():
+        raise ValueError(f"no files are listed in {path}")
+    return out
+
+
+def probed(cells: DataFrame, *, id_col: str = "cell_id", at_once: int = 8) -> DataFrame:
+    """(cell_id, path, readable, id_readable): which files of a manifest can be read to their end.
+
+    Each file is a job of its own, ``at_once`` at a time, so that an unreadable
+    one fails alone: a missing file, or a broken archive, in any file system that Spark
+    knows. ``id_readable`` numbers the readable ones alone: those behind an
+    unreadable one move up. What the driver holds is the list.
+    """
+    spark = cells.sparkSession
+
+    def readable(path: str) -> bool:
+        try:
+            spark.read.text(path).agg(F.sum(F.length("value"))).collect()
+        except (PySparkException, Py4JJavaError):
+            return False
+        return True
+
+    listed = [(r[id_col], r["path"]) for r in cells.orderBy(id_col).collect()]
+    with ThreadPoolExecutor(at_once) as pool:
+        fine = list(pool.map(readable, [path for _, path in listed]))
+    rank = itertools.accumulate(map(int, fine))
+    rows = [(i, path, ok, n if ok else None) for (i, path), ok, n in zip(listed, fine, rank, strict=True)]
+    return spark.createDataFrame(rows, f"{id_col} int, path string, readable boolean, id_readable int")
 
 
 def with_cells(rows: DataFrame, cells: DataFrame, *, id_col: str = "cell_id") -> DataFrame:
@@ -207,15 +239,24 @@ def barcoded_reads(rows: DataFrame) -> DataFrame:
     return t.select(F.col("qname").alias("name"), e.alias("end"), F.when(e == 1, F.concat(barcode, s)).otherwise(s).alias("sequence"), F.when(e == 1, F.concat(quality, q)).otherwise(q).alias("quality"))
 
 
-def fastq(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(file, record, name, sequence, quality): four lines a record, kept if the first begins with @.
+def numbered_lines(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(value, file, block, line): all lines with their number in the file, from 0, and the offset of their split.
 
-    A file is one row of lines until its records are cut, by its own task: the
-    place of a line decides what it is.
+    A plain file is many splits. Lines are counted for each split, which gives a
+    row for each; the number of a line is what the splits before hold, and its
+    place in its own. So no file passes through one task, and the lines themselves aren't
+    shuffled. An archive is one split.
     """
-    w = W.partitionBy("file").orderBy("at")
-    rows = ordered_lines(spark, paths).withColumn("_n", F.row_number().over(w) - 1)
-    rows = rows.select("file", F.floor(F.col("_n") / 4).alias("record"), (F.col("_n") % 4).alias("_k"), "value")
+    rows = ordered_lines(spark, paths).select("value", "file", F.col("at.block").alias("block"), F.col("at.row").alias("row"))
+    blocks = rows.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = blocks.select("file", "block", (before - F.col("_first")).alias("_add"))
+    return rows.join(F.broadcast(splits), ["file", "block"]).select("value", "file", "block", (F.col("row") + F.col("_add")).alias("line"))  # a row for each split
+
+
+def fastq(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(file, record, name, sequence, quality): four lines a record, kept if the first begins with @."""
+    rows = numbered_lines(spark, paths).select("file", F.floor(F.col("line") / 4).alias("record"), (F.col("line") % 4).alias("_k"), "value")
     out = rows.groupBy("file", "record").agg(*[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(n) for k, n in ((0, "name"), (1, "sequence"), (3, "quality"))])
     return out.where(F.col("name").startswith("@"))
 
@@ -225,8 +266,36 @@ def fastq_pairs(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.drop("file").join(second.select("record", *[F.col(c).alias(f"{c}2") for c in ("name", "sequence", "quality")]), "record")
 
 
+def fasta_lines(spark: SparkSession, paths: Paths, wanted: DataFrame | None = None, *, id_col: str = "contig", most: int = 10_000) -> DataFrame:
+    """(id, start, bases): sequences as the lines of their records, longer lines as parts of ``most`` bases.
+
+    ``start`` is the place of a part's first base, from 0. A header begins its
+    line, so a > inside one is part of it. Each split finds its own lines' header
+    and place; what a split before it leaves open is carried on by a row for each
+    split. With ``wanted`` only its ids are read, which may end in sA or sB.
+    """
+    rows = numbered_lines(spark, paths).where(F.trim("value") != "")
+    is_head = F.col("value").startswith(">")
+    bases = F.when(is_head, "").otherwise(F.regexp_replace("value", r"\s", ""))
+    rows = rows.select("file", "block", "line", F.when(is_head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("_id"), bases.alias("_b"))
+    split = W.partitionBy("file", "block").orderBy("line")
+    rows = rows.withColumn("_p", F.coalesce(F.sum(F.length("_b")).over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    rows = rows.withColumn("_h", F.last(F.when(F.col("_id").isNotNull(), F.struct("_id", "_p")), ignorenulls=True).over(split))
+    splits = rows.groupBy("file", "block").agg(F.sum(F.length("_b")).alias("_n"), F.max_by("_h", "line").alias("_last"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long")))
+    carried = F.when(F.col("_last").isNotNull(), F.struct(F.col("_last._id").alias("_id"), (F.col("_before") + F.col("_last._p")).alias("_p")))
+    splits = splits.select("file", "block", "_before", F.last(carried, ignorenulls=True).over(before).alias("_carried"))
+    rows = rows.where("_id IS NULL").join(F.broadcast(splits), ["file", "block"])  # a row for each split
+    own = F.when(F.col("_h").isNotNull(), F.struct(F.col("_h._id").alias("_id"), (F.col("_before") + F.col("_h._p")).alias("_p"))).otherwise(F.col("_carried"))
+    rows = rows.select(own["_id"].alias("id"), (F.col("_before") + F.col("_p") - own["_p"]).alias("start"), "_b").where("id IS NOT NULL")
+    if wanted is not None:
+        rows = rows.join(wanted.select(F.regexp_replace(id_col, "s[AB]$", "").alias("id")).distinct(), "id", "left_semi")
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.length("_b") - 1, F.lit(0)), F.lit(most)), lambda i: F.struct(i.alias("i"), F.substring(F.col("_b"), i + 1, F.lit(most)).alias("bases")))
+    return rows.select("id", "start", F.explode(parts).alias("_p")).select("id", (F.col("start") + F.col("_p.i")).alias("start"), "_p.bases")
+
+
 def fasta(spark: SparkSession, paths: Paths, wanted: DataFrame | None = None, *, id_col: str = "contig") -> DataFrame:
-    """(id, sequence): wrapped lines joined; only ids in ``wanted``, which may end in sA or sB."""
-    rows = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep=">").where(F.trim("value") != "")
-    out = rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("sequence"))
-    return out if wanted is None else out.join(wanted.select(F.regexp_replace(id_col, "s[AB]$", "").alias("id")).distinct(), "id", "left_semi")
+    """(id, sequence): lines of each record joined; only ids in ``wanted``, which may end in sA or sB."""
+    rows = fasta_lines(spark, paths, wanted, id_col=id_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "bases"))).alias("_p"))
+    return rows.select("id", F.array_join(F.transform("_p", lambda p: p["bases"]), "").alias("sequence"))

@@ -1,8 +1,9 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from phasewright.operators import cells, intervals, maps, phasing, reads, recombination
+from phasewright.operators import cells, intervals, map_completion, maps, phasing, reads, recombination
 from phasewright.plans import chains
 
 
@@ -67,20 +68,24 @@ def test_long_reads(spark):
 
 
 def test_scaffolds(spark):
-    pairs = spark.createDataFrame([("g", 1, "a", False), ("g", 2, "b", True), ("g", 3, "csB", False)], "group string, rank int, contig string, reverse boolean")
-    s = spark.createDataFrame([("a", "AAC"), ("b", "GGT"), ("c", "ACGTACGT")], "id string, sequence string")
+    pairs = spark.createDataFrame([("g", 1, "a", False), ("g", 2, "b", True), ("g", 3, "csB", False), ("h", 7, "csA", True)], "group string, rank int, contig string, reverse boolean")
+    s = spark.createDataFrame([("a", 0, "AAC"), ("b", 0, "GG"), ("b", 2, "TN"), ("c", 0, "ACG"), ("c", 3, "TACGT")], "id string, start long, bases string")
     cut = spark.createDataFrame([("c", 5)], "contig string, break_pos int")
-    assert reads.scaffolds(pairs, s, cut, separator="-").first().sequence == "AAC-ACC-ACGT"
+    line = lambda rows, g: [r.bases for r in sorted(rows, key=lambda r: (r.rank, r.part)) if r.group == g]
+    n = "N" * 80
+    got = reads.scaffold_chunks(pairs, s, cut).collect()
+    assert line(got, "g") == ["AAC", n, n, "nA", "CC", n, n, "CGT"] and line(got, "h") == ["TA", "CGT"]
+    assert line(reads.scaffold_chunks(pairs, s, cut, compat=True).collect(), "h") == ["ACG", "TA"]
+    for some, what in ((s.where("id <> 'b'"), "contig without sequence: b"), (s, "split contig without a break: c")):
+        with pytest.raises(Exception, match=what):
+            reads.scaffold_chunks(pairs, some, cut if what[0] == "c" else None).collect()
 
 
 def test_maps(spark):
     gmap = spark.createDataFrame([("g", 1, "a", "left", "PPPPMMMM"), ("g", 2, "a", "right", "PPPPMMMM"), ("g", 3, "b", "left", "MMMMPPPP"), ("g", 4, "b", "right", "MMMMPPPP")], "group_id string, ord int, contig string, side string, pattern string")
     new = spark.createDataFrame([("g", "c", "left", "PPMMMMPP"), ("g", "b", "right", "MMMMPPPP")], "group_id string, contig string, side string, pattern string")
-    got = [(x.contig, x.side) for x in maps.completed_map(gmap, new).orderBy("ord").collect()]
+    got = [(x.contig, x.side) for x in map_completion.completed_maps(gmap, new).maps.orderBy("ord").collect()]
     assert got == [("a", "left"), ("a", "right"), ("c", "left"), ("b", "left"), ("b", "right")]
-    markers = spark.createDataFrame([("m", "MMMMPPPP", "hap_low"), ("h", "PPPPPPPP", "hom_high"), ("x", "UUUUMMMM", "hap_low")], "marker string, marker_pattern string, klass string")
-    out = {x.marker: x for x in maps.phased_deletions(markers, maps.slots(gmap)).collect()}
-    assert out["h"].status == "hom" and out["h"].score == 16 and out["x"].status == "bad" and out["m"].status == "phased"
     chosen = spark.createDataFrame([("g", 3, "d")], "group_id string, ord int, contig string")
     assert [x.side for x in maps.with_deletions(gmap, chosen).orderBy("ord").collect()] == ["left", "right", "left_del", "right_del", "left", "right"]
     un = spark.createDataFrame([("g", "q", "right")], "group_id string, contig string, side string")

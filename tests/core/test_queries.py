@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from phasewright.plans import more_queries, queries  # noqa: F401
+from phasewright.plans import file_queries, map_queries, more_queries, queries  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 SQL = queries.oracle_sql()

@@ -1,5 +1,8 @@
 import gzip
+import random
+from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from phasewright.sources import readers, writers
@@ -88,3 +91,63 @@ def test_reads_from_lines_and_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "parts")).select("name", "sequence", "quality", "sequence2", "quality2")
     assert rows(got) == want
     assert readers.sam(spark, str(tmp_path / "in")).count() == 3
+
+
+def test_splits_of_plain_files(spark, tmp_path):
+    """Files cut into splits of a few dozen bytes read as line by line."""
+    r = random.Random(3)
+    records = [(f"@r{i} x>y", "".join(r.choice("ACGT") for _ in range(r.randrange(1, 60)))) for i in range(120)]
+    for name in ("a", "b"):
+        write(tmp_path / f"{name}.fq", "".join(f"{n}{name}\n{s}\n+{'@' if i % 3 == 0 else ''}\n{'@' * len(s)}\n" for i, (n, s) in enumerate(records)))
+    genome = [(f"k{i}", "".join(r.choice("ACGTN") for _ in range(r.randrange(0, 300)))) for i in range(40)]
+    fa = write(tmp_path / "x.fa", "".join(f">{n} text > more\n" + "".join(s[i : i + 17] + "\n" for i in range(0, len(s), 17)) for n, s in genome) + ">last\n" + "A" * 95)
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "50")
+    try:
+        assert readers.ordered_lines(spark, fa).rdd.getNumPartitions() > 20
+        got = sorted((x.file[-4:], x.record, x.name, x.sequence) for x in readers.fastq(spark, [str(tmp_path / "a.fq"), str(tmp_path / "b.fq")]).collect())
+        assert got == [(f"{f}.fq", i, n + f, s) for f in "ab" for i, (n, s) in enumerate(records)]
+        for most in (10_000, 7):
+            parts = defaultdict(dict)
+            for x in readers.fasta_lines(spark, fa, most=most).collect():
+                parts[x.id][x.start] = x.bases
+            want = {n: s for n, s in genome if s} | {"last": "A" * 95}
+            assert {k: "".join(v[i] for i in sorted(v)) for k, v in parts.items()} == want
+            assert all(sum(len(v[j]) for j in v if j < i) == i for v in parts.values() for i in v)
+        assert dict(rows(readers.fasta(spark, fa))) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_unreadable_files(spark, tmp_path):
+    good = [write(tmp_path / f"g{i}.txt", f"k\t{i}\n" * 2000) for i in range(2)]
+    whole = gzip.compress(("x\t1\n" * 50_000).encode())
+    (tmp_path / "cut.gz").write_bytes(whole[: len(whole) // 2])
+    lst = write(tmp_path / "list.txt", f"{good[0]}\n{tmp_path}/none.txt\n# no file\n{tmp_path}/cut.gz\n{good[1]}\n")
+    got = readers.probed(readers.manifest(spark, lst)).orderBy("cell_id").collect()
+    assert [(x.cell_id, x.readable, x.id_readable) for x in got] == [(1, True, 1), (2, False, None), (3, False, None), (4, True, 2)]
+    with pytest.raises(ValueError, match="no files"):
+        readers.manifest(spark, write(tmp_path / "empty.txt", "# nothing\n\n"))
+
+
+def test_hot_keys_are_many_files(spark, tmp_path):
+    t = spark.range(20_000).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "cold").alias("route"), F.col("id").cast("string").alias("id"), F.lit("ACGT").alias("sequence"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        deal = writers.dealt(t, ["route"], rows_a_file=500).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(deal) == 4 and max(x["count"] for x in deal) < 7_000
+    writers.write_fasta(t, str(tmp_path / "fa"), by=["route"])
+    back = spark.read.text(str(tmp_path / "fa"))
+    assert back.groupBy("route").count().collect().__len__() == 3 and back.count() == 40_000
+    same = lambda: {(x.route, x.id): x.f for x in writers.dealt(t, ["route"], rows_a_file=500).withColumn("f", F.spark_partition_id()).collect()}
+    assert same() == same()
+
+
+def test_scaffolds_in_order(spark, tmp_path):
+    chunks = spark.createDataFrame([("g", k, p, f"{k}{p}") for k in range(30) for p in (2, 0, 1)] + [("f", 0, 0, "x")], "group string, rank int, part long, bases string")
+    writers.write_scaffolds(chunks, str(tmp_path / "s"))
+    text = "".join(x.read_text() for x in sorted((tmp_path / "s").glob("part-*")))
+    assert text.split() == [">f", "x", ">g", *(f"{k}{p}" for k in range(30) for p in range(3))]
