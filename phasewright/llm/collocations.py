@@ -11,10 +11,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import _BYTE, _POWERS, checkpoint, mix, small_side, table, text_batches
+from .common import _BYTE, _POWERS, _trim, checkpoint, mix, small_side, table, text_batches
 
 #: Bytes of text from which one automaton is made.
-SHARD = 1 << 21
+SHARD = 1 << 20
 #: Bits of a filter of frequent names at most; a fuller filter lets more names through, never fewer.
 MOST_BITS = 1 << 27
 
@@ -201,6 +201,8 @@ def shards(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[tuple[Word
             if size >= SHARD:
                 yield numbered(held), [*held]
                 held, size = {}, 0
+                pa.default_memory_pool().release_unused()
+                _trim()
     if held:
         yield numbered(held), [*held]
 
@@ -281,7 +283,7 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, filters: list[Fi
 
 
 #: Rows of counts that a task holds before it sends them.
-_HELD = 600_000
+_HELD = 250_000
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
