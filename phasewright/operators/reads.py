@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions import even_hash, realigned, reference_span
 from .checked import checked_join
@@ -75,6 +75,25 @@ def route_totals(routes: DataFrame) -> DataFrame:
     return rows.groupBy("route").agg(F.count(F.lit(1)).alias("alignments"), F.countDistinct("qname").alias("reads"), F.sum("span").alias("bases"))
 
 
+def dispositions(alignments: DataFrame) -> DataFrame:
+    """(disposition, alignments, bases): what becomes of alignments before they are routed; bases by the reads' length, none without sequence."""
+    rows = alignments.select(disposition().alias("disposition"), F.when(F.col("seq") == "*", 0).otherwise(F.length("seq")).alias("_n"))
+    return rows.groupBy("disposition").agg(F.count(F.lit(1)).alias("alignments"), F.sum("_n").cast("long").alias("bases"))
+
+
+def counted(routes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The routes, and an observation that holds their counts once they have been written or collected.
+
+    Counted in the same pass: alignments, bases, alignments of two routes,
+    of no one group, and without a place.
+    """
+    seen = Observation()
+    first = F.get("routes", F.lit(0))
+    n = lambda what, name: F.count_if(what).alias(name)
+    out = routes.observe(seen, F.count(F.lit(1)).alias("alignments"), F.coalesce(F.sum("span"), F.lit(0)).cast("long").alias("bases"), n(F.size("routes") > 1, "crossovers"), n(first == "mapped_no_lg", "no_group"), n(first == "unmapped_starcigar", "no_place"))
+    return out, seen
+
+
 def shared_reads(a: DataFrame, b: DataFrame, *, read: str = "qname", span: str = "span") -> DataFrame:
     """(reads, bases) of reads that are in both sets; bases by the first."""
     both = a.join(b.select(read), read, "left_semi")

@@ -74,13 +74,3 @@ def flipped_regions(regions: DataFrame, flags: DataFrame) -> DataFrame:
     rows = regions.join(flags.select("contig", "swap"), "contig", "left")
     s = F.coalesce("swap", F.lit(False))
     return rows.withColumns({"sym": F.when(s, F.translate("sym", "PM", "MP")).otherwise(F.col("sym")), "cluster": F.when(s, F.translate("cluster", "pm", "mp")).otherwise(F.col("cluster"))}).drop("swap")
-
-
-def compared_gates(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """Gates of a contig against those of the contig it was cut from; ``parent_missing`` ones against themselves."""
-    from ..functions import genotype_difference
-
-    p = parent.select(F.col("contig").alias("parent"), "kind", F.col("pattern").alias("_p"))
-    rows = child.join(p, ["parent", "kind"], "left")
-    diff = genotype_difference("pattern", F.coalesce("_p", "pattern"))
-    return rows.select("contig", "parent", "kind", F.col("_p").isNull().alias("parent_missing"), diff.alias("d")).select("contig", "parent", "kind", "parent_missing", "d.*")

@@ -119,12 +119,22 @@ def read_region_depths(spark: SparkSession, d: str) -> DataFrame:
     return readers.region_depths(spark, path)
 
 
-@_query("""WITH p AS (SELECT l_orderkey AS contig, string_agg(CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'M' ELSE 'U' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pattern FROM lineitem GROUP BY l_orderkey)
-SELECT rpad(pattern, (SELECT CAST(max(length(pattern)) AS INTEGER) FROM p), 'U') AS pattern, CAST(contig // 2 AS VARCHAR) AS contig, CASE WHEN contig % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM p""")
+@_query("""WITH p AS (SELECT l_orderkey AS contig, string_agg(CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'M' ELSE 'U' END, '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pattern FROM lineitem GROUP BY l_orderkey),
+q AS (SELECT contig, rpad(pattern, (SELECT CAST(max(length(pattern)) AS INTEGER) FROM p), 'U') AS pattern FROM p)
+SELECT CASE WHEN contig % 3 = 0 THEN translate(replace(pattern, 'U', 'u'), 'PM', 'MP') ELSE pattern END AS pattern, CAST(contig // 2 AS VARCHAR) AS contig, CASE WHEN contig % 2 = 0 THEN 'left' ELSE 'right' END AS side FROM q""")
 def read_gates(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of gates."""
+    """Lines of gates, changed over where their end is flagged."""
     g = _whole_gmap(spark, d)
-    return readers.gates(spark, _text(spark, g, "pattern", "contig", F.concat("side", F.lit("-sequence"))))
+    flags = g.select(F.col("contig").cast("string").alias("contig"), "side", (F.col("ord") % 3 == 0).alias("swap"))
+    return readers.gates(spark, _text(spark, g, "pattern", "contig", F.concat("side", F.lit("-sequence"))), flags)
+
+
+@_query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN '*' ELSE o_orderpriority END AS seq, CASE WHEN o_orderkey % 3 = 0 THEN '*' ELSE '12M' END AS cigar, o_custkey % 400 AS flag FROM orders)
+SELECT CASE WHEN seq = '*' THEN 'no_sequence' WHEN cigar = '*' THEN 'unmapped_starcigar' WHEN flag > 255 THEN 'secondary' ELSE 'kept' END AS disposition, count(*) AS alignments, CAST(sum(CASE WHEN seq = '*' THEN 0 ELSE length(seq) END) AS BIGINT) AS bases FROM a GROUP BY 1""")
+def alignment_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments by what becomes of them."""
+    k = F.col("o_orderkey")
+    return reads.dispositions(_t(spark, d, "orders").select(F.when(k % 5 == 0, "*").otherwise(F.col("o_orderpriority")).alias("seq"), F.when(k % 3 == 0, "*").otherwise("12M").alias("cigar"), (F.col("o_custkey") % 400).alias("flag")))
 
 
 @_query("""SELECT 'c' || CAST(o_orderkey AS VARCHAR) AS contig, CAST(o_custkey AS BIGINT) AS pos, CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'A' END AS mat, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'C' END AS pat FROM orders""")

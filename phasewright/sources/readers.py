@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions import is_reverse, path_part, read_end, sam_tag, split_tokens
+from ..functions import flip, is_reverse, path_part, read_end, sam_tag, split_tokens
 
 Paths = str | Sequence[str]
 
@@ -168,10 +168,14 @@ def updated_maps(spark: SparkSession, paths: Paths) -> DataFrame:
     return rows.select(_group().alias("group_id"), F.row_number().over(W.partitionBy("file").orderBy("at")).alias("ord"), "contig", "side", "distance", "recomb_pct")
 
 
-def gates(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(pattern, contig, side) of lines that hold a left or right gate."""
+def gates(spark: SparkSession, paths: Paths, flags: DataFrame | None = None) -> DataFrame:
+    """(pattern, contig, side) of lines that hold a left or right gate; patterns of ends that ``flags`` (contig, side, swap) marks are changed over."""
     rows = columns(lines(spark, paths), "pattern string, contig string, kind string", least=3)
-    return rows.where(F.col("kind").rlike("left|right")).select("pattern", "contig", F.when(F.col("kind").contains("left"), "left").otherwise("right").alias("side"))
+    out = rows.where(F.col("kind").rlike("left|right")).select("pattern", "contig", F.when(F.col("kind").contains("left"), "left").otherwise("right").alias("side"))
+    if flags is None:
+        return out
+    turned = out.join(flags.select("contig", "side", "swap"), ["contig", "side"], "left")
+    return turned.select(F.when(F.col("swap"), flip("pattern")).otherwise(F.col("pattern")).alias("pattern"), "contig", "side")
 
 
 def deletion_gates(spark: SparkSession, paths: Paths) -> DataFrame:

@@ -120,3 +120,10 @@ def test_cells(spark):
     assert {r.kmer: r.n for r in k.collect()} == {"AAC": 2, "ACG": 2}
     cell = spark.createDataFrame([(1, 0.01, 10), (2, 0.2, 10), (3, 0.01, 9999)], "c int, r double, n int")
     assert [r.c for r in cells.cell_filter(cell, ratio="r", count="n").collect()] == [1]
+
+
+def test_counts_in_the_same_pass(spark):
+    routes = spark.createDataFrame([(1, "a", 10, ["x"]), (2, "a", 5, ["mapped_no_lg", "crossover"]), (3, "b", 7, ["unmapped_starcigar"]), (4, "c", 1, ["mapped_no_lg"])], "aln_id long, qname string, span long, routes array<string>")
+    out, seen = reads.counted(routes)
+    assert out.count() == 4
+    assert seen.get == {"alignments": 4, "bases": 23, "crossovers": 1, "no_group": 2, "no_place": 1}
