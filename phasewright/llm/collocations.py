@@ -231,7 +231,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 def places(w: Words, names: list[str], depth: int, filters: list[Filter]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length up to ``depth`` where phrases of it end whose words, pairs ... may be frequent, all words' names of that length, and marks of their neighbours.
 
-    A mark is 16 bits of the words before and behind a phrase, of its own piece.
+    A mark is 8 bits of the words before and behind a phrase, of its own piece.
     """
     word = word_names(w.vocabulary, np.array([_salt(x) for x in names], np.uint64)[w.lang])
     ok = filters[0].holds(word)[w.at]
@@ -247,11 +247,11 @@ def places(w: Words, names: list[str], depth: int, filters: list[Filter]) -> Ite
             if d <= len(filters):
                 at = np.flatnonzero(ok)
                 ok[at] = filters[d - 1].holds(name[at])
-        yield ok, name, longer_names(before, behind) >> np.uint64(48)
+        yield ok, name, longer_names(before, behind) >> np.uint64(56)
 
 
 def count_phrases(docs: DataFrame, shortest: int, longest: int, filters: list[Filter], *, reach: int) -> DataFrame:
-    """(name, size, f, mark): occurrences of phrases of ``shortest`` to ``longest`` words that pass the filters of their words, pairs ..., by name.
+    """(name, mark, f): occurrences of phrases of ``shortest`` to ``longest`` words that pass the filters of their words, pairs ..., by name.
 
     Every task makes automata of its own texts; their states' numbers of ends are
     added up over its texts, and then over all tasks. ``mark`` is the least mark of
@@ -269,7 +269,7 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, filters: list[Fi
             for size in range(shortest, longest + 1):
                 rows = np.flatnonzero((a.shortest <= size) & (size <= a.longest) & (a.ends > 0))
                 last, (_, name, mark) = a.last[rows], levels[size - 1]
-                held.append(pa.table({"name": name[last].view(np.int64), "size": np.full(len(rows), size, np.int32), "n": a.ends[rows], "mark": mark[last].astype(np.int32)}))
+                held.append(pa.table({"name": name[last].view(np.int64), "n": a.ends[rows], "mark": mark[last].astype(np.int32)}))
             if sum(t.num_rows for t in held) > _HELD:
                 held = [_added(held)]
                 if held[0].num_rows > _HELD // 2:
@@ -278,8 +278,8 @@ def count_phrases(docs: DataFrame, shortest: int, longest: int, filters: list[Fi
             yield from _added(held).to_batches(50_000)
 
     text_batches(spark)
-    rows = docs.select("lang", "text").mapInArrow(run, "name long, size int, n long, mark int")
-    return rows.groupBy("name", "size").agg(F.sum("n").alias("f"), F.min("mark").alias("mark"))
+    rows = docs.select("lang", "text").mapInArrow(run, "name long, n long, mark int")
+    return rows.groupBy("name").agg(F.min("mark").alias("mark"), F.sum("n").alias("f"))
 
 
 #: Rows of counts that a task holds before it sends them.
@@ -287,13 +287,13 @@ _HELD = 250_000
 
 
 def _added(tables: list[pa.Table]) -> pa.Table:
-    """One row for each name and size."""
-    out = pa.concat_tables(tables).group_by(["name", "size"]).aggregate([("n", "sum"), ("mark", "min")])
-    return out.rename_columns({"n_sum": "n", "mark_min": "mark"}).select(["name", "size", "n", "mark"])
+    """One row for each name."""
+    out = pa.concat_tables(tables).group_by("name").aggregate([("n", "sum"), ("mark", "min")])
+    return out.rename_columns({"n_sum": "n", "mark_min": "mark"}).select(["name", "n", "mark"])
 
 
 def spelt(docs: DataFrame, longest: int, filters: list[Filter], wanted: Filter) -> DataFrame:
-    """(lang, phrase, name, size): the words of phrases of ``wanted``, which holds each name with one mark; seldom of others."""
+    """(lang, phrase, name): the words of phrases of ``wanted``, which holds each name with one mark; seldom of others."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((filters, wanted))
 
@@ -305,11 +305,11 @@ def spelt(docs: DataFrame, longest: int, filters: list[Filter], wanted: Filter)
                 at = at[marked.holds(longer_names(name[at], mark[at]))]
                 first = np.unique(name[at], return_index=True)[1]
                 at = at[first]
-                yield from _rows(names, w.lang[w.at[at]], w.phrases(at, size), {"name": name[at].view(np.int64), "size": np.full(len(at), size)})
+                yield from _rows(names, w.lang[w.at[at]], w.phrases(at, size), {"name": name[at].view(np.int64)})
 
     text_batches(spark)
-    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase binary, name long, size long")
-    return rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "name", F.col("size").cast("int").alias("size")).distinct()
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, phrase binary, name long")
+    return rows.select("lang", F.col("phrase").cast("string").alias("phrase"), "name").distinct()
 
 
 def named(words: DataFrame) -> DataFrame:
@@ -391,7 +391,7 @@ def collocations(docs: DataFrame, *, longest: int = 5, least: int = 100, top: in
             break
         filters.append(name_filter(found.select("name")))
     spellings = spelt(rows, longest, filters, name_filter(counts.select("name", "mark")))
-    phrases = checkpoint(spellings.join(counts.select("name", "size", "f"), ["name", "size"]).select("lang", "phrase", "f"), 10_000)
+    phrases = checkpoint(spellings.join(counts.select("name", "f"), "name").select("lang", "phrase", "f"), 10_000)
     counts = words.unionByName(phrases)
     split = F.split("phrase", " ")
     candidates = counts.withColumn("words", split).where(F.size("words") >= 2).select("lang", "phrase", "words", F.col("f").alias("a"))

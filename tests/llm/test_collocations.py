@@ -116,5 +116,5 @@ def test_filters_lose_nothing(spark):
     two = c.name_filter(got.select("name"))
     assert two.holds(c.longer_names(names[:-1], names[1:])).all()
     some = got.where("f = 2").orderBy("name").limit(50)
-    spelt = c.spelt(docs, 5, [both, two], c.name_filter(some.select("name", "mark"))).join(some, ["name", "size"]).collect()
+    spelt = c.spelt(docs, 5, [both, two], c.name_filter(some.select("name", "mark"))).join(some, "name").collect()
     assert len(spelt) == 50 and {r.phrase for r in spelt} <= {f"w{i} w{i + 1}" for i in range(1000)}
