@@ -10,12 +10,14 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
-    "audio", "canvas", "object", "picture", "video", "meter", "progress", "output", "slot",
+    "audio", "button in line", "canvas", "object", "picture", "video", "meter", "progress", "output", "slot",
     # formulas and drawings within a line
     "math", "annotation", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace",
     "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics",
     "svg", "circle", "defs", "ellipse", "g", "image", "line", "path", "polygon", "polyline", "rect", "text", "textpath", "tspan", "use",
 }
+#: Elements of running text: a button within it is part of the line.
+_LINES = {"p", "li", "td", "th", "dd", "dt", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "pre"}
 #: Scripts, styles, form controls and what no browser shows; they end only at their own end tag.
 RAW = {"script", "style", "textarea", "title", "iframe", "select", "template"}
 #: Text without markup up to the element's own end tag.
@@ -79,6 +81,8 @@ class _Builder:
         del self.stack[at:]
 
     def start(self, tag: str, rest: str) -> None:
+        if tag == "button" and self.text and next((e.tag for e in reversed(self.stack) if e.tag not in INLINE), "") in _LINES:
+            tag = "button in line"
         if tag in INLINE or tag in VOID:
             if tag in ("br", "hr", "img", "input", "wbr"):
                 if tag in ("hr", "input"):
@@ -111,6 +115,8 @@ class _Builder:
         self.stack.append(_Element(tag, tuple(found), self.made))
 
     def end(self, tag: str) -> None:
+        if tag == "button" and any(e.tag == "button in line" for e in self.stack):
+            tag = "button in line"
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at].tag == tag:
                 if tag not in INLINE:

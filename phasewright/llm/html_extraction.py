@@ -231,6 +231,12 @@ class _PageMaker:
             parts.append(self.comments())
         body = heading + "".join(parts)
         core = r.choice(("<article>{}</article>",) * 5 + ("<main>{}</main>", "<main><article>{}</article></main>", '<article class="post">{}</article>', '<div class="content">{}</div>', '<div id="content">{}</div>', '<div class="post entry">{}</div>', '<div class="article-body">{}</div>', '<div id="main" role="main">{}</div>', '<section class="story">{}</section>')).format(body)
+        k = r.random()
+        if k < 0.1:
+            # nothing but the article: its blocks, or text alone
+            return f"<html><body>{body}</body></html>" if k < 0.07 else f"{_MARK}{self.prose(8)}"
+        if k < 0.25:
+            core = body  # no element of its own
         before = [f() for f in (self.header, self.menu, self.notice, self.advert, self.sidebar, self.form) if r.random() < 0.4]
         after = [f() for f in (self.comments, self.related, self.sidebar, self.advert, self.share, self.notice, self.form) if r.random() < 0.3]
         r.shuffle(before)

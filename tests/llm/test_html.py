@@ -109,3 +109,11 @@ def test_pages_written_by_hand():
         found, right, wanted = found + len(got), right + len(set(got) & set(want)), wanted + len(want)
     print("precision", right / found, "recall", right / wanted)
     assert right >= 0.9 * found and right >= 0.9 * wanted
+
+
+def test_pages_without_an_element_for_the_article():
+    model = trained_model()
+    assert main_text("<body><p>Only one paragraph here, plain page.</p></body>", model) == "Only one paragraph here, plain page."
+    assert main_text("Just plain text without any markup,\n in one line.", model) == "Just plain text without any markup, in one line."
+    assert main_text("<html><body><h1>A title of a page</h1><p>First paragraph of the page, long enough.</p><p>Second paragraph, also with words.</p></body></html>", model).count("\n") == 2
+    assert main_text("<article><p>In <button>press</button> text</p><p>More text stands here.</p></article>", model) == "In press text\nMore text stands here."
