@@ -61,13 +61,14 @@ def _meet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, wait_m
 
 
 def paired_stream(reads: DataFrame, *, wait_seconds: int = 600) -> DataFrame:
-    """(name, kind, sequence, quality, sequence2, quality2): every read of ``stream_reads`` in exactly one row.
+    """(name, kind, sequence, quality, sequence2, quality2): every read of ``stream_reads`` that is on time in exactly one row.
 
     ``pair``: a first and a second read of one name. ``unpaired``: a read whose
     mate hasn't come when the watermark is ``wait_seconds`` past it. ``repeated``: a
     read of a name and end that is there already, or of a name that is paired. State is
     a read for each waiting name, or a mark for each paired one, and goes with
-    the watermark; a restart goes on from the query's checkpoint.
+    the watermark; a restart goes on from the query's checkpoint. Spark itself drops reads that
+    come later than the watermark allows, so its delay must cover how late they may be.
     """
     rows = reads.select("name", "end", "sequence", "quality", F.col("arrived"))
     return rows.groupBy("name").applyInPandasWithState(lambda key, parts, state: _meet(key, parts, state, 1000 * wait_seconds), OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ def drain(spark, folder, out, checkpoint):
 
 
 def put(folder, number, rows):
-    (folder / f"{number:03}.txt").write_text("".join(f"2024-01-01 00:{minute:02}:00%{line}\n" for minute, line in rows))
+    path = folder / f"{number:03}.txt"
+    path.write_text("".join(f"2024-01-01 00:{minute:02}:00%{line}\n" for minute, line in rows))
+    os.utime(path, (1_700_000_000 + number, 1_700_000_000 + number))  # files are taken in this order
 
 
 def test_no_read_is_lost(spark, tmp_path):
