@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import depth_code, support_class
+from .lineage import checkpoint
 from .sequences import packed
 
 
@@ -87,20 +88,28 @@ def cell_filter(cells: DataFrame, *, ratio: str | None = None, most_ratio: float
 
 
 def two_groups(rows: DataFrame, value: str, *, rounds: int = 20) -> DataFrame:
-    """Rows with ``group`` 0 or 1: two means of one number, from its ends, until they stand still."""
-    low, high = rows.agg(F.min(value), F.max(value)).first()
+    """Rows with ``group`` 0 or 1: two means of one number, from its ends, until they stand still.
+
+    The rows are read once: rounds add up over the different values and their
+    counts, which are kept. A null value has no group.
+    """
+    values = checkpoint(rows.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    low, high = values.agg(F.min("v"), F.max("v")).first()
     if low is None:
         return rows.withColumn("group", F.lit(None).cast("int"))
-    low, high = float(low), float(high)
-    near: Column = F.abs(F.col(value) - low) > F.abs(F.col(value) - high)
+
+    def second(x: Column, low: float, high: float) -> Column:
+        return F.abs(x - low) > F.abs(x - high)
+
     for _ in range(rounds):
-        near = F.abs(F.col(value) - low) > F.abs(F.col(value) - high)
-        a, b = rows.agg(F.avg(F.when(~near, F.col(value))), F.avg(F.when(near, F.col(value)))).first()
-        a, b = low if a is None else float(a), high if b is None else float(b)
-        if (a, b) == (low, high):
+        near = second(F.col("v"), low, high)
+        mean = lambda which: F.sum(F.when(which, F.col("v") * F.col("n"))) / F.sum(F.when(which, F.col("n")))
+        a, b = values.agg(mean(~near), mean(near)).first()
+        after = (low if a is None else a, high if b is None else b)
+        if after == (low, high):
             break
-        low, high = a, b
-    return rows.withColumn("group", near.cast("int"))
+        low, high = after
+    return rows.withColumn("group", second(F.col(value), low, high).cast("int"))
 
 
 def top_hits(hits: DataFrame, *, query: str = "query", subject: str = "subject", order: str = "row", length: str = "length", least: int = 30, limit: int = 10) -> DataFrame:

@@ -216,7 +216,10 @@ def phase_flags(spark, d):
     return maps.phase_flags(li)
 
 
-@_query()
+@_query("""WITH RECURSIVE v AS (SELECT CAST(c_acctbal AS DOUBLE) AS v, count(*) AS n FROM customer GROUP BY ALL),
+m AS (SELECT 0 AS i, (SELECT min(v) FROM v) AS lo, (SELECT max(v) FROM v) AS hi
+UNION ALL SELECT i + 1, coalesce(sum(v * n) FILTER (abs(v - lo) <= abs(v - hi)) / sum(n) FILTER (abs(v - lo) <= abs(v - hi)), min(lo)), coalesce(sum(v * n) FILTER (abs(v - lo) > abs(v - hi)) / sum(n) FILTER (abs(v - lo) > abs(v - hi)), min(hi)) FROM m, v WHERE i < 20 GROUP BY i)
+SELECT c_custkey, c_acctbal, CAST(abs(c_acctbal - lo) > abs(c_acctbal - hi) AS INTEGER) AS "group" FROM customer, m WHERE i = 20""")
 def two_groups(spark, d):
     """Two groups of one number."""
     return cells.two_groups(_t(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
