@@ -140,14 +140,31 @@ def informative_ends(spark, d):
     return sequences.ends(_seq(spark, d), keys=["contig", "cell_id"])
 
 
-@_query()
+def _calls_sql(cluster: str, least: float) -> str:
+    """Accepted switches of each cell, by its cluster as ``cluster`` says and the least score."""
+    return f"""{_CLU_SQL}, c AS (SELECT contig, cell_id, idx, sum((sym = 'P')::INT) OVER u AS pl, sum((sym = 'M')::INT) OVER u AS ml, sum((sym = 'P')::INT) OVER w AS pt, sum((sym = 'M')::INT) OVER w AS mt FROM seq
+WINDOW u AS (PARTITION BY contig, cell_id ORDER BY idx ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY contig, cell_id)),
+s AS (SELECT *, pl / (pl + ml) * ((mt - ml) / (pt + mt - pl - ml)) AS pm, ml / (pl + ml) * ((pt - pl) / (pt + mt - pl - ml)) AS mp FROM c WHERE pl + ml > 0 AND pt + mt > pl + ml),
+r AS (SELECT *, row_number() OVER (PARTITION BY contig, cell_id ORDER BY greatest(pm, mp) DESC, idx DESC) AS k FROM s),
+cp AS (SELECT contig, cell_id, idx AS split, greatest(pm, mp) AS score, CASE WHEN pm >= mp THEN 'PM' ELSE 'MP' END AS call, pl AS left_p, ml AS left_m, pt - pl AS right_p, mt - ml AS right_m FROM r WHERE k = 1),
+en AS (SELECT contig, cell_id, count(*) FILTER (sym <> 'u') AS n, arg_min(sym, idx) FILTER (sym <> 'u') AS first, arg_max(sym, idx) FILTER (sym <> 'u') AS last FROM seq GROUP BY contig, cell_id),
+b AS (SELECT en.*, cp.* EXCLUDE (contig, cell_id), {cluster} AS cc FROM en LEFT JOIN cp USING (contig, cell_id) JOIN clu USING (contig, cell_id)),
+o AS (SELECT *, CASE WHEN cc = 'M' THEN 'P' ELSE 'M' END AS other FROM b),
+e AS (SELECT *, CASE WHEN substr(call, 1, 1) = other THEN first = other ELSE last = other END AS differs, CASE WHEN substr(call, 1, 1) = other THEN CASE WHEN other = 'P' THEN left_p ELSE left_m END ELSE CASE WHEN other = 'P' THEN right_p ELSE right_m END END AS held FROM o),
+f AS (SELECT *, n > 1 AND coalesce((n < 10 AND score > 0 AND differs AND held > 0 AND held >= n / 3.0) OR (n > 10 AND score >= {least} AND differs AND held >= 5), false) AS switch FROM e),
+calls AS (SELECT contig, cell_id, CASE WHEN n = 0 THEN 'UU' WHEN n = 1 THEN first || first WHEN switch THEN call ELSE cc || cc END AS call, CASE WHEN switch THEN split END AS split FROM f)"""
+
+
+@_query(f"""WITH {_calls_sql("clu.cluster", 0.64)}, g AS (SELECT contig, cell_id, unnest(['left-sequence', 'CO-info', 'right-sequence']) AS kind, unnest([substr(call, 1, 1), CASE WHEN substr(call, 1, 1) <> substr(call, 2, 1) THEN 'R' ELSE '|' END, substr(call, 2, 1)]) AS sym FROM calls)
+SELECT contig, kind, string_agg(sym, '' ORDER BY cell_id) AS pattern FROM g GROUP BY contig, kind""")
 def gate_patterns(spark, d):
     """Accepted switches and the gates of each contig."""
     s = _seq(spark, d)
     return sequences.gates(sequences.accepted_breaks(s, phasing.clusters(s)))
 
 
-@_query()
+@_query(f"""WITH {_calls_sql("CASE WHEN clu.cluster = 'P' THEN 'P' ELSE 'M' END", 0.3)}, j AS (SELECT contig, cell_id, calls.split, max(seq.pos) FILTER (idx <= calls.split) AS left_pos, min(seq.pos) FILTER (idx > calls.split) AS right_pos FROM calls JOIN seq USING (contig, cell_id) WHERE calls.split IS NOT NULL AND sym <> 'u' GROUP BY contig, cell_id, calls.split)
+SELECT *, right_pos - left_pos + 1 AS size FROM j""")
 def switch_intervals(spark, d):
     """W3c: accepted switches between their nearest known markers."""
     s = _seq(spark, d)
