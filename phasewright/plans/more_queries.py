@@ -225,7 +225,15 @@ def two_groups(spark, d):
     return cells.two_groups(_t(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal")
 
 
-@_query()
+@_query(f"""WITH {_CALL_SQL}, m AS (SELECT contig, pos, row_number() OVER (PARTITION BY contig ORDER BY pos) AS idx FROM (SELECT DISTINCT contig, pos FROM cnt)), cells AS (SELECT DISTINCT cell_id FROM cnt),
+b AS (SELECT m.contig, m.idx, cells.cell_id, CASE WHEN coalesce(a, 0) > 0 AND coalesce(c, 0) > 0 THEN NULL WHEN coalesce(a, 0) > 0 THEN 'r' WHEN coalesce(c, 0) > 0 THEN 'a' END AS side FROM m CROSS JOIN cells LEFT JOIN cnt ON cnt.contig = m.contig AND cnt.pos = m.pos AND cnt.cell_id = cells.cell_id),
+p AS (SELECT *, side || lead(side) OVER (PARTITION BY contig, cell_id ORDER BY idx) AS d FROM b),
+n AS (SELECT contig, idx, idx = max(idx) OVER (PARTITION BY contig) AS last, rr + CASE WHEN idx < max(idx) OVER (PARTITION BY contig) THEN 1 ELSE 0 END AS rr, aa, ra, ar FROM (SELECT contig, idx, count(*) FILTER (d = 'rr') AS rr, count(*) FILTER (d = 'aa') AS aa, count(*) FILTER (d = 'ra') AS ra, count(*) FILTER (d = 'ar') AS ar FROM p GROUP BY contig, idx)),
+o AS (SELECT *, list_sort([{{'n': -rr, 's': 'AA', 'd': 'rr'}}, {{'n': -aa, 's': 'CC', 'd': 'aa'}}, {{'n': -ra, 's': 'AC', 'd': 'ra'}}, {{'n': -ar, 's': 'CA', 'd': 'ar'}}])[1].d AS top FROM n),
+t AS (SELECT *, top IN ('ra', 'ar') AS mixed, NOT last AND (ra + ar > rr + aa OR (ra + ar = rr + aa AND top IN ('ra', 'ar'))) AS trans FROM o),
+k AS (SELECT *, CASE WHEN last THEN 'r' WHEN trans = mixed THEN substr(top, 1, 1) WHEN trans THEN CASE WHEN ra > ar THEN 'r' WHEN ar > ra THEN 'a' ELSE substr(top, 1, 1) END ELSE CASE WHEN rr > aa THEN 'r' WHEN aa > rr THEN 'a' ELSE substr(top, 1, 1) END END AS member FROM t),
+s AS (SELECT contig, idx, trans, (coalesce(sum(trans::INT) OVER (PARTITION BY contig ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (first_value(member) OVER (PARTITION BY contig ORDER BY idx) = 'a')::INT) % 2 = 1 AS swapped FROM k)
+SELECT contig, CAST(idx AS INTEGER) AS idx, trans, CASE WHEN swapped THEN 'C' ELSE 'A' END AS mat, CASE WHEN swapped THEN 'A' ELSE 'C' END AS pat FROM s""")
 def dimer_phases(spark, d):
     """Phase of each marker by pairs of neighbours."""
     m = phasing.indexed(_markers(spark, d))
