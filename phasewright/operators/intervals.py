@@ -2,39 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-#: Width of the bins that intervals are dealt into.
+#: Width of the smallest bins that intervals are dealt into.
 BIN = 10_000
+#: Bins of a level are so many times as wide as those of the level below.
+STEP = 8
+#: Levels that hold every span of 64-bit places.
+LEVELS = 20
+
+
+def _width(level: Column, width: int) -> Column:
+    return F.lit(width).cast("long") * F.element_at(F.array(*[F.lit(STEP**k) for k in range(LEVELS)]), level + 1)
+
+
+def _level(start: Column, end: Column, width: int) -> Column:
+    """The first level whose bins are no narrower than the interval, which so touches two of them at most."""
+    span = end.cast("long") - start.cast("long") + 1
+    return F.size(F.filter(F.array(*[F.lit(width * STEP**k) for k in range(LEVELS - 1) if width * STEP**k < 2**63]), lambda w: w < span))
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+def _levels(rows: DataFrame) -> DataFrame:
+    """One row: the levels that any of ``rows`` has."""
+    return F.broadcast(rows.agg(F.array_sort(F.collect_set("_level")).alias("_levels")))  # LEVELS numbers at most
 
 
-def point_join(points: DataFrame, regions: DataFrame, *, key: str = "contig", pos: str = "pos", start: str = "start", end: str = "end", half_open: bool = False, width: int = BIN) -> DataFrame:
+def _bins(rows: DataFrame, start: Column, end: Column, width: int) -> DataFrame:
+    """``rows`` under each bin of the level in ``_level`` that they touch, in ``_bin``."""
+    w = _width(F.col("_level"), width)
+    return rows.withColumn("_bin", F.explode(F.sequence(F.floor(start / w), F.floor(end / w))))
+
+
+def point_join(points: DataFrame, regions: DataFrame, *, key: str | list[str] = "contig", pos: str = "pos", start: str = "start", end: str = "end", half_open: bool = False, width: int = BIN) -> DataFrame:
     """Points with every region that holds them; ``half_open`` leaves the region's start out.
 
-    Regions are listed under each bin they touch, points under their own, so that
-    a long sequence is many join keys and no pair meets twice.
+    A region is listed under the one or two bins that it touches at the level of
+    its length, a point under its own bin of every level that has regions. So a long
+    sequence is many join keys, no pair meets twice, and rows grow with the
+    levels, not with the length of regions.
     """
-    r = regions.where(F.col(start) <= F.col(end)).withColumn("_bin", _bins(F.col(start), F.col(end), width))
-    p = points.withColumn("_bin", F.floor(F.col(pos) / width))
+    keys = [key] if isinstance(key, str) else key
+    r = regions.where(F.col(start) <= F.col(end)).withColumn("_level", _level(F.col(start), F.col(end), width))
+    p = points.crossJoin(_levels(r)).withColumn("_level", F.explode("_levels")).drop("_levels")
+    p = p.withColumn("_bin", F.floor(F.col(pos) / _width(F.col("_level"), width)))
     inside = (F.col(pos) > F.col(start) if half_open else F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))
-    return p.join(r, [key, "_bin"]).where(inside).drop("_bin")
+    return p.join(_bins(r, F.col(start), F.col(end), width), [*keys, "_level", "_bin"]).where(inside).drop("_level", "_bin")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, *, key: str = "contig", left_span: tuple[str, str] = ("start", "end"), right_span: tuple[str, str] = ("rstart", "rend"), least: Column | int = 1, width: int = BIN) -> DataFrame:
     """Pairs of intervals that share at least ``least`` places, with ``overlap``; each pair once.
 
-    A pair is kept in its first common bin only.
+    Two intervals meet at the level of the longer one, where both touch two bins at
+    most, and a pair is kept in its first common bin only. An interval is
+    listed at its own level and at those higher ones that the other side has.
     """
     ls, le, rs, re = (F.col(c) for c in (*left_span, *right_span))
-    a = left.where(ls <= le).withColumn("_bin", _bins(ls, le, width))
-    b = right.where(rs <= re).withColumn("_bin", _bins(rs, re, width))
+    a = left.where(ls <= le).withColumn("_level", _level(ls, le, width))
+    b = right.where(rs <= re).withColumn("_level", _level(rs, re, width))
+
+    def at(rows: DataFrame, start: Column, end: Column, others: DataFrame, above: Callable[[Column, Column], Column]) -> DataFrame:
+        """``rows`` in the bins of those levels of ``others`` that are ``above`` their own."""
+        each = rows.withColumnRenamed("_level", "_own").crossJoin(_levels(others)).withColumn("_level", F.explode(F.filter("_levels", lambda x: above(x, F.col("_own")))))
+        return _bins(each.drop("_own", "_levels"), start, end, width)
+
+    longer = _bins(a, ls, le, width).join(at(b, rs, re, a, lambda x, own: x >= own), [key, "_level", "_bin"])
+    shorter = at(a, ls, le, b, lambda x, own: x > own).join(_bins(b, rs, re, width), [key, "_level", "_bin"])
     shared = F.least(le, re) - F.greatest(ls, rs) + 1
-    first = F.floor(F.greatest(ls, rs) / width)
-    return a.join(b, [key, "_bin"]).withColumn("overlap", shared).where((F.col("_bin") == first) & (F.col("overlap") >= least)).drop("_bin")
+    first = F.floor(F.greatest(ls, rs) / _width(F.col("_level"), width))
+    return longer.unionByName(shorter).withColumn("overlap", shared).where((F.col("_bin") == first) & (F.col("overlap") >= least)).drop("_level", "_bin")
 
 
 def region_depth(depth: DataFrame, regions: DataFrame, *, key: str = "contig", pos: str = "pos", value: str = "depth", start: str = "start", end: str = "end") -> DataFrame:

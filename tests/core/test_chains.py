@@ -51,6 +51,19 @@ def test_intervals_against_all_pairs(spark):
     assert hits == sum(x[0] == y[0] and y[1] <= x[1] <= y[2] for x in a for y in b)
 
 
+def test_rows_of_interval_joins_do_not_grow_with_lengths(spark):
+    r = random.Random(11)
+    spans = [(r.randint(1, 10**12), r.choice([1, 60, 10**4, 10**7, 10**12])) for _ in range(120)]
+    a, b = ([(k, "c", s, s + n - 1) for k, (s, n) in enumerate(part)] for part in (spans[:60], spans[60:]))
+    left, right = spark.createDataFrame(a, "i int, contig string, start long, end long"), spark.createDataFrame(b, "j int, contig string, rstart long, rend long")
+    got = [(x.i, x.j, x.overlap) for x in intervals.overlap_join(left, right).select("i", "j", "overlap").collect()]
+    assert sorted(got) == [(i, j, min(e, v) - max(s, u) + 1) for i, _, s, e in a for j, _, u, v in b if s <= v and u <= e]
+    points = [(k, "c", x) for k, x in enumerate([x for _, _, s, e in a[:20] for x in (s - 1, s, e, e + 1)])]
+    for half in (False, True):
+        hits = intervals.point_join(spark.createDataFrame(points, "k int, contig string, pos long"), left, half_open=half)
+        assert sorted((x.k, x.i) for x in hits.select("k", "i").collect()) == [(k, i) for k, _, x in points for i, _, s, e in a if s + half <= x <= e]
+
+
 def test_long_reads(spark):
     sam = [
         (1, "r1", 0, "k", 1, "10M", "MMMMMMMMMM"), (2, "r2", 0, "k", 1, "10M", "PPPPPPPPPP"), (3, "r3", 0, "z", 1, "10M", "XXXXXXXXXX"), (4, "r4", 0, "k", 1, "*", "AAAA"),
