@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import flip, match_score
 from .checked import checked_join
+from .lineage import checkpoint
 from .maps import best_slots, group_votes, slots, with_deletions
 
 # The name of no map, and of no group, in results.
@@ -57,7 +58,8 @@ def placed_deletions(regions: DataFrame, gmap: DataFrame, gates: DataFrame, grou
     hom, bad = F.col("klass").contains("hom"), ~F.col("pattern").contains("P")
     rows = rows.withColumns({"case": case, "_hom": hom, "_bad": (case == 1) & ~hom & bad, "_id": F.to_json(F.array(F.col("contig"), F.col("start").cast("string"), F.col("end").cast("string")))})
     rows = rows.withColumns({"_own": F.when(F.col("case") == 3, F.col("_map")).when(F.col("case") == 2, F.col("_phase_map")), "_slot": ~F.col("_hom") & ~F.col("_bad") & (F.col("case") < 3), "_ends": ~F.col("_hom") & (F.col("case") == 3)})
-    maps = gmap.withColumn("group_id", F.col("group_id").cast("string"))
+    # both are read by each step below
+    rows, maps = checkpoint(rows), checkpoint(gmap.withColumn("group_id", F.col("group_id").cast("string")))
     free = slots(maps)
     best = best_slots(rows.where("_slot"), free, marker="_id", pattern="pattern", own_group="_own")
     marker = _next_markers(maps)
@@ -76,7 +78,7 @@ def placed_deletions(regions: DataFrame, gmap: DataFrame, gates: DataFrame, grou
         "marker": F.when(F.col("_ends"), F.concat(F.col("_name"), F.lit("\tright"))).otherwise(F.col("marker")),
         "status": _status(),
     })
-    rows = rows.withColumn("pattern", F.when(F.col("swap"), flip("pattern")).otherwise(F.col("pattern")))
+    rows = checkpoint(rows.withColumn("pattern", F.when(F.col("swap"), flip("pattern")).otherwise(F.col("pattern"))))
     votes = group_votes(rows.select("contig", F.col("region_map").alias("map_file"), F.when(F.col("case") == 1, F.col("score")).otherwise(double).alias("score")))
     rows = rows.join(votes.select("contig", F.col("map_file").alias("map_group")), "contig")
     names = matched.select(F.col("map_group").cast("string").alias("map_group"), "phase_group")

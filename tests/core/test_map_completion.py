@@ -178,3 +178,31 @@ def test_slots_and_their_ties(spark):
         for block in (2048, 10):
             got = {x.marker: (x.group_id, x.ord, x.swap, x.score) for x in maps.best_slots(table, places, scale=scale, block_rows=block).collect()}
             assert got == want
+
+
+def test_slots_meet_patterns_once(spark, monkeypatch):
+    r = random.Random(8)
+    pattern = lambda: "".join(r.choice("PMU") for _ in range(3))
+    gmap = [(f"g{k % 4}", k // 4, f"c{k}", pattern()) for k in range(1200)]
+    markers = [(k, pattern(), f"g{r.randint(0, 3)}" if k % 2 else None) for k in range(90)]
+    seen = []
+    whole = maps.in_blocks
+
+    def counted(left, right, *args, **kwargs):
+        seen.append((left.count(), right.count()))
+        return whole(left, right, *args, **kwargs)
+
+    monkeypatch.setattr(maps, "in_blocks", counted)
+    places = maps.slots(spark.createDataFrame(gmap, "group_id string, ord int, contig string, pattern string"))
+    got = {x.marker: (x.group_id, x.ord, x.swap, x.score) for x in maps.best_slots(spark.createDataFrame(markers, "marker int, marker_pattern string, own string"), places, own_group="own").collect()}
+    # without a group: 27 patterns, and pairs of them in any order; with one, those of each group
+    assert seen[0][0] <= 27 and seen[0][1] <= 27 * 28 // 2 and seen[1][0] <= 4 * 27 and seen[1][1] <= 4 * 27 * 28 // 2
+    lines = {g: sorted((row for row in gmap if row[0] == g), key=lambda row: row[1]) for g in sorted({row[0] for row in gmap})}
+    for k, p, own in markers:
+        best = (None, None, False, 0)
+        for g, line in lines.items():
+            for swap, q in ((False, p), (True, turned(p))):
+                for x, y in zip(line, line[1:], strict=False):
+                    if own in (None, g) and (n := score(q, x[3], False) + score(q, y[3], False)) > best[3]:
+                        best = (g, x[1], swap, n)
+        assert got[k] == best
