@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .intervals import point_join
+
 
 def informative_positions(counts: DataFrame, *, key: str = "cell_id", a: str = "count_a", b: str = "count_b", least: int = 1000) -> DataFrame:
     """Places where either allele has reads, of cells with more than ``least`` of them."""
@@ -70,9 +72,10 @@ def refined_breakpoints(points: DataFrame, rows: DataFrame, *, keys: list[str],
     """Breakpoints with the two markers between which the values differ most, the first of equal splits.
 
     Shares of 0 and of 1 are of all markers on each side, so this joins each
-    breakpoint with its own markers and takes prefix sums.
+    breakpoint with its own markers, by bins, and takes prefix sums.
     """
-    inside = points.select(*keys, "bp", F.col("start").alias("_s"), F.col("end").alias("_e"), "before", "after").join(rows.select(*keys, F.col(order).alias("_p"), F.col(value).alias("_v")), keys).where("_p BETWEEN _s AND _e")
+    spans = points.select(*keys, "bp", F.col("start").alias("_s"), F.col("end").alias("_e"), "before", "after")
+    inside = point_join(rows.select(*keys, F.col(order).alias("_p"), F.col(value).alias("_v")), spans, key=keys, pos="_p", start="_s", end="_e")
     g = [*keys, "bp"]
     w = W.partitionBy(*g).orderBy("_p")
     upto, whole = w.rowsBetween(W.unboundedPreceding, 0), W.partitionBy(*g)

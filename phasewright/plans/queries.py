@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import functions as X
 from ..operators import cells, intervals, maps, phasing, reads, recombination, sequences
+from ..operators.lineage import checkpoint
 from . import chains
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,7 +454,7 @@ def genotype_blocks(spark, d):
 @_query()
 def refined_crossovers(spark, d):
     """Both passes, breakpoints, and their best split."""
-    s = recombination.smoothed(_alleles(spark, d), keys=["cell_id"])
+    s = checkpoint(recombination.smoothed(_alleles(spark, d), keys=["cell_id"]))  # a fold, read for the blocks and for their edges
     points = recombination.breakpoints(recombination.blocks(s, keys=["cell_id"]).where("markers >= 3"), keys=["cell_id"])
     return recombination.refined_breakpoints(points, s, keys=["cell_id"])
 

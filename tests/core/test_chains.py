@@ -124,6 +124,26 @@ def test_crossovers(spark):
     assert [(x.start, x.end) for x in out.orderBy("rank").collect()] == [(1, 400), (410, 1000)]
 
 
+def test_breakpoints_meet_their_own_markers_only(spark):
+    r = random.Random(3)
+    line = [(1, 10 * k, float(r.random() < 0.5)) for k in range(400)]
+    cuts = sorted(r.sample(range(400), 60))
+    points = [(1, n, line[i][1], line[j][1], 0, 1) for n, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))] + [(1, 99, 0, 3990, 1, 0)]
+    marks = spark.createDataFrame(line, "cell_id int, pos long, smooth double")
+    out = recombination.refined_breakpoints(spark.createDataFrame(points, "cell_id int, bp int, start long, end long, before int, after int"), marks, keys=["cell_id"])
+    share = lambda part, v: sum(x == v for x in part) / len(part)
+    for x in out.collect():
+        _, _, s, e, _, _ = next(p for p in points if p[1] == x.bp)
+        inside = [(pos, v) for _, pos, v in line if s <= pos <= e]
+        v = [y for _, y in inside]
+        split = [max(share(v[:i], 0) * share(v[i:], 1), share(v[:i], 1) * share(v[i:], 0)) for i in range(1, len(v))]
+        i = max(range(len(split)), key=lambda k: (round(split[k], 12), -k))
+        assert abs(x.score - split[i]) < 1e-12 and (x.start, x.end) == (inside[i][0], inside[i + 1][0])
+    assert out.count() == len(points)
+    # bins stand beside the cell in the join, so that not each breakpoint meets each marker
+    assert "_bin" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_cells(spark):
     t = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 50, 51)], "v double")
     assert [r.group for r in cells.two_groups(t, "v").orderBy("v").collect()] == [0, 0, 0, 1, 1]
