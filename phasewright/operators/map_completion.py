@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, Row, Window as W, functions as F
 
 from ..functions import flip
 from .lineage import checkpoint
-from .pattern_pairs import Planes, bit_planes, pair_scores
+from .pattern_pairs import Planes, pair_scores
 
 #: Slots whose patterns are fetched for a batch.
-FETCHED = 4096
+FETCHED = 16384
+#: Slots that are listed for the gates of a pattern; a batch ends where one needs more.
+KEPT = 16
+#: Slots that a task scores together, scores that it holds at once, and numbers of scores that the driver keeps.
+SLOTS, SCORES, ROWS_KEPT = 100_000, 1 << 22, 1 << 23
 
 Slot = tuple[str, int]
 
@@ -38,12 +42,71 @@ class _Marker:
     score: int = 0
 
 
+class _NewSlots:
+    """The slots that a batch has made, as columns: group, old place, place in its line, patterns left and right, and whether it is open."""
+
+    def __init__(self, groups: list[str]) -> None:
+        self.groups, self.rank = groups, {g: n for n, g in enumerate(groups)}
+        self.rows, self.n = np.zeros((6, 1024), np.int64), 0
+        self.lines: dict[Slot, list[int]] = {}
+
+    def split(self, slot: Slot, line: list[_Marker | None], at: int) -> None:
+        """The marker at ``at`` of a line is new."""
+        if self.n + 2 > self.rows.shape[1]:
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)), axis=1)
+        have = self.lines.setdefault(slot, [])
+        for k in (at - 1, at):
+            if k == at or not have:
+                have.insert(k, self.n)
+                self.n += 1
+            x, y = line[k], line[k + 1]
+            ends = (x.number, y.number, x.contig != y.contig) if x is not None and y is not None else (0, 0, 0)
+            self.rows[:, have[k]] = (self.rank[slot[0]], slot[1], k, *ends)
+        self.rows[2, have[at + 1 :]] += 1
+
+    def best(self, group: str | None, scores: tuple[np.ndarray, ...]) -> tuple | None:
+        """(-score, group, whether flipped, old place, place in its line) of the best slot with a score above 0."""
+        rows = self.rows[:, : self.n]
+        rows = rows[:, (rows[5] == 1) if group is None else (rows[5] == 1) & (rows[0] == self.rank[group])]
+        found = None
+        if rows.shape[1]:
+            for flipped, score in enumerate(scores):
+                both = score[rows[3]] + score[rows[4]]
+                top = both.max()
+                if top <= 0:
+                    continue
+                some = rows[:3, both == top]
+                for row in range(3):
+                    some = some[:, some[row] == some[row].min()]
+                g, i, k = some[:, 0].tolist()
+                one = (-int(top), self.groups[g], bool(flipped), i, k)
+                found = one if found is None or one < found else found
+        return found
+
+
+class _Scores:
+    """Scores of patterns, as they are and flipped, with all known ones; so many are kept that they are ``ROWS_KEPT`` numbers."""
+
+    def __init__(self, known: list[str]) -> None:
+        self.known, self.have = Planes.read(known), {}
+        self.most = max(16, ROWS_KEPT // max(1, 2 * len(known)))
+
+    def of(self, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+        if pattern not in self.have:
+            if len(self.have) >= self.most:
+                self.have.clear()
+            own = Planes.read([pattern])
+            self.have[pattern] = tuple(pair_scores(x, self.known, scale=True)[0].astype(np.int32) for x in (own, own.flipped()))
+        return self.have[pattern]
+
+
 @dataclass
 class _Lists:
     """The slots that a batch has put markers into: each is its two old markers (None beyond an end) with the new ones between."""
 
     old: dict[Slot, _Marker]
     sizes: dict[str, int]
+    slots: _NewSlots
     touched: dict[Slot, list[_Marker | None]] = field(default_factory=dict)
     new: dict[tuple[str, str, str], Slot] = field(default_factory=dict)
 
@@ -56,7 +119,9 @@ class _Lists:
         return self.touched.setdefault(slot, [self.old.get((group, i)), self.old.get((group, i + 1))])
 
     def insert(self, slot: Slot, at: int, marker: _Marker) -> None:
-        self.open(slot).insert(at, marker)
+        line = self.open(slot)
+        line.insert(at, marker)
+        self.slots.split(slot, line, at)
         self.new[slot[0], marker.contig, marker.side] = slot
 
     def around(self, group: str, o: int) -> tuple[_Marker | None, _Marker | None]:
@@ -69,7 +134,7 @@ def _flipped(pattern: str) -> str:
     return "".join({"P": "M", "M": "P"}.get(x, "u") for x in pattern)
 
 
-def completed_maps(gmap: DataFrame, gates: DataFrame, *, group: str = "group_id", order: str = "ord", batch_rows: int = 512, compat: bool = False) -> Completed:
+def completed_maps(gmap: DataFrame, gates: DataFrame, *, group: str = "group_id", order: str = "ord", batch_rows: int = 8192, compat: bool = False) -> Completed:
     """Maps with gates put in by order of contig and side, each into the maps that those before it have left.
 
     ``gmap``: group, ord, contig, side (left or right), pattern. ``gates``: group
@@ -91,11 +156,13 @@ def completed_maps(gmap: DataFrame, gates: DataFrame, *, group: str = "group_id"
     the least row counts. All patterns must be of one length.
 
     One gate's place depends on all before it, yet each insertion takes away one
-    slot and gives two. So every task scores its own slots for a batch of the next
-    gates, of the n-th of which its n best slots are kept, since those before
-    it take n - 1 away at most; the driver then places the batch, with scores of
-    new slots from the few patterns beside them. It holds a batch, its lists
-    and at most ``FETCHED`` slots' patterns; maps stay distributed.
+    slot and gives two. So tasks score the slots that are there for a batch of the
+    next gates, once for gates of one group and pattern, and list the ``KEPT`` best;
+    the driver then places the batch, with scores of new slots from the few
+    patterns beside them. A gate whose listed slots are all taken, where those
+    that aren't listed could be better than the new ones, begins the next batch.
+    The driver holds a batch, its lists and at most ``FETCHED`` slots' patterns;
+    maps stay distributed.
     """
     text = lambda df, *more: df.select(F.col(group).cast("string").alias("group"), *more, *[F.col(c).cast("string").alias(c) for c in ("contig", "side", "pattern")])
     start = text(gmap, F.col(order).alias("_o"))
@@ -129,87 +196,101 @@ def _with(state: DataFrame, added: list[tuple]) -> DataFrame:
     return checkpoint(rows.select("group", place.alias("_n"), "contig", "side", "pattern", "swap", "score").withColumnRenamed("_n", "ord"))
 
 
-def _best_slots(state: DataFrame, batch: list[Row]) -> dict[int, list[tuple[int, str, bool, int]]]:
-    """(score, group, swap, ord) of the best slots of each gate of the batch, best first: one of the first, two of the second, ..."""
+def _kinds(batch: list[Row]) -> dict[tuple[str | None, str], int]:
+    """Numbers of the groups and patterns of a batch, in the order of its gates."""
+    kinds: dict[tuple[str | None, str], int] = {}
+    for r in batch:
+        kinds.setdefault((r["group"], r["pattern"].upper()), len(kinds))
+    return kinds
+
+
+def _best_slots(state: DataFrame, kinds: list[tuple[str | None, str]]) -> list[list[tuple[int, str, bool, int]]]:
+    """(score, group, swap, ord) of the ``KEPT`` best slots of each kind of gate, best first."""
+    spark = state.sparkSession
     w = W.partitionBy("group").orderBy("ord")
     slots = state.withColumns({"_c": F.lead("contig").over(w), "_y": F.lead("pattern").over(w)}).where(F.col("contig") != F.col("_c"))
-    slots = slots.select("group", "ord", bit_planes("pattern").alias("x"), bit_planes("_y").alias("y"))
-    own = Planes.read([r["pattern"] for r in batch])
-    of_group = [r["group"] for r in batch]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-state.count() // SLOTS))
+    slots = slots.select("group", "ord", "pattern", "_y").repartition(tasks, "group", "ord")
+    of_group: dict[str | None, list[int]] = {}
+    for j, (g, _) in enumerate(kinds):
+        of_group.setdefault(g, []).append(j)
+    patterns = [p for _, p in kinds]
+
+    def tops(js: list[int], names: np.ndarray, ords: np.ndarray, x: np.ndarray, y: np.ndarray, known: Planes, free: bool):
+        n = len(ords)
+        number = pd.factorize(names)[0]
+        turn = np.lexsort((np.tile(np.arange(n), 2), np.repeat([0, 1], n), np.tile(number, 2))) if free else np.arange(n)  # a group as it is, then flipped
+        size = len(turn)
+        most, step = min(KEPT, size), max(1, SCORES // max(size, len(known.p)))
+        for at in range(0, len(js), step):
+            some = np.array(js[at : at + step])
+            own = Planes.read([patterns[j] for j in some])
+            both = [v[:, x] + v[:, y] for v in (pair_scores(z, known, scale=True) for z in ((own, own.flipped()) if free else (own,)))]
+            both = np.concatenate(both, axis=1)[:, turn]
+            top = np.argpartition(np.arange(size) - both * size, most - 1, axis=1)[:, :most]
+            score = np.take_along_axis(both, top, axis=1)
+            row, column = np.nonzero(score > 0)
+            to = turn[top[row, column]]
+            yield pd.DataFrame({"j": some[row], "score": score[row, column], "group": names[to % n], "swap": to >= n, "ord": ords[to % n]})
 
     def work(parts):
-        for part in parts:
-            if part.empty:
-                continue
-            part = part.sort_values(["group", "ord"], kind="stable")
-            x, y, n = Planes.of(part["x"]), Planes.of(part["y"]), len(part)
-            names, ords, number = part["group"].to_numpy(), part["ord"].to_numpy(), pd.factorize(part["group"])[0]
-            turn = np.lexsort((np.tile(np.arange(n), 2), np.repeat([0, 1], n), np.tile(number, 2)))  # a group as it is, then flipped
-            free = np.array([g is None for g in of_group])
-            keep = pair_scores(own, x, scale=True) + pair_scores(own, y, scale=True)
-            swap = np.full_like(keep, -1)
-            turned = own[free].flipped()
-            swap[free] = pair_scores(turned, x, scale=True) + pair_scores(turned, y, scale=True)
-            for j, g in enumerate(of_group):
-                if g is not None:
-                    keep[j, names != g] = -1
-            both = np.concatenate((keep, swap), axis=1)[:, turn]
-            rank = both * (2 * n) - np.arange(2 * n)
-            out = []
-            for j in range(len(of_group)):
-                most = min(j + 1, 2 * n)
-                top = np.argpartition(-rank[j], most - 1)[:most]
-                top = top[both[j, top] > 0]
-                at = turn[top] % n
-                out.append(pd.DataFrame({"j": j, "score": both[j, top], "group": names[at], "swap": turn[top] >= n, "ord": ords[at]}))
-            yield pd.concat(out)
+        parts = [part for part in parts if not part.empty]  # a task has some ``SLOTS`` rows
+        if not parts:
+            return
+        part = pd.concat(parts).sort_values(["group", "ord"], kind="stable")
+        names, ords = part["group"].to_numpy(), part["ord"].to_numpy()
+        number, different = pd.factorize(np.concatenate((part["pattern"].to_numpy(), part["_y"].to_numpy())))
+        x, y, known = number[: len(part)], number[len(part) :], Planes.read(list(different))
+        for g, js in of_group.items():
+            at = np.arange(len(part)) if g is None else np.flatnonzero(names == g)
+            if len(at):
+                yield from tops(js, names[at], ords[at], x[at], y[at], known, g is None)
 
     found = slots.mapInPandas(work, "j int, score long, group string, swap boolean, ord long")
     order = W.partitionBy("j").orderBy(F.col("score").desc(), "group", "swap", "ord")
-    rows = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("j") + 1).orderBy("j", "_r").collect()
-    best: dict[int, list] = {}
-    for r in rows:
-        best.setdefault(r["j"], []).append((r["score"], r["group"], r["swap"], r["ord"]))
+    rows = found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= KEPT).toArrow().sort_by([("j", "ascending"), ("_r", "ascending")])
+    best: list[list] = [[] for _ in kinds]
+    for j, *slot in zip(*(rows.column(c).to_pylist() for c in ("j", "score", "group", "swap", "ord")), strict=True):
+        best[j].append(tuple(slot))
     return best
 
 
-def _fetched(state: DataFrame, batch: list[Row], best: dict[int, list]) -> tuple[DataFrame, dict[tuple[str, str, str], int], dict[str, int]]:
+def _fetched(state: DataFrame, batch: list[Row], best: list[list]) -> tuple[list[Row], dict[tuple[str, str, str], int], dict[str, int]]:
     """Old markers that the batch may meet, where other ends stand, and the sizes of maps."""
     wanted: dict[Slot, None] = {}
-    for rank in range(len(batch)):
-        for j in range(rank, len(batch)):
-            if rank < len(best.get(j, ())):
-                wanted.setdefault(best[j][rank][1::2])
-        if len(wanted) >= FETCHED:
-            break
+    for rank in range(KEPT):
+        for slots in best:
+            if rank < len(slots) and len(wanted) < FETCHED:
+                wanted.setdefault(slots[rank][1::2])
     spark = state.sparkSession
     ends = [(r["group"], r["contig"], "left" if r["side"] == "right" else "right") for r in batch if r["group"] is not None]
     mates = {}
     if ends:
         there = F.broadcast(spark.createDataFrame(sorted(set(ends)), "group string, contig string, side string"))  # a batch
-        mates = {(r["group"], r["contig"], r["side"]): r["ord"] for r in state.join(there, ["group", "contig", "side"]).collect()}
+        mates = {(r["group"], r["contig"], r["side"]): r["ord"] for r in state.join(there, ["group", "contig", "side"]).select("group", "contig", "side", "ord").collect()}
     groups = sorted({g for g, _, _ in ends} | {g for g, _ in wanted})
-    places = {(g, i + d) for g, i in list(wanted)[:FETCHED] for d in (0, 1)} | {(k[0], o + d) for k, o in mates.items() for d in (-1, 0, 1)} | {(g, o) for g in groups for o in (1, 2)}
+    places = {(g, i + d) for g, i in wanted for d in (0, 1)} | {(k[0], o + d) for k, o in mates.items() for d in (-1, 0, 1)} | {(g, o) for g in groups for o in (1, 2)}
     near = F.broadcast(spark.createDataFrame(sorted(places), "group string, ord long"))  # two for each slot, three for each end
-    old = state.join(near, ["group", "ord"]).collect() if places else []
+    old = state.join(near, ["group", "ord"]).select("group", "ord", "contig", "side", "pattern").collect() if places else []
     sizes = {r["group"]: r["n"] for r in state.groupBy("group").agg(F.max("ord").alias("n")).where(F.col("group").isin(groups)).collect()}
     return old, mates, sizes
 
 
 def _placed(state: DataFrame, batch: list[Row], compat: bool) -> tuple[int, list[tuple]]:
     """How many gates of the batch are done, and the rows to put into the maps."""
-    best = _best_slots(state, batch)
+    kinds = _kinds(batch)
+    best = _best_slots(state, list(kinds))
     rows, mates, sizes = _fetched(state, batch, best)
     numbers: dict[str, int] = {}
     number = lambda p: numbers.setdefault(p.upper(), len(numbers))
-    lists = _Lists({(r["group"], r["ord"]): _Marker(r["contig"], r["side"], number(r["pattern"])) for r in rows}, sizes)
-    for r in batch:
-        number(r["pattern"]), number(_flipped(r["pattern"]))
-    own, known = Planes.read([r["pattern"] for r in batch]), Planes.read(list(numbers))
-    keep, swap = pair_scores(own, known, scale=True), pair_scores(own.flipped(), known, scale=True)
+    old = {(r["group"], r["ord"]): _Marker(r["contig"], r["side"], number(r["pattern"])) for r in rows}
+    lists = _Lists(old, sizes, _NewSlots(sorted({r["group"] for r in batch if r["group"] is not None} | set(sizes))))
+    for _, p in kinds:
+        number(p), number(_flipped(p))
+    scores = _Scores(list(numbers))
     done = 0
-    for j, gate in enumerate(batch):
-        if not _place(j, gate, lists, best.get(j, []), mates, keep, swap, number, compat):
+    for gate in batch:
+        if not _place(gate, lists, best[kinds[gate["group"], gate["pattern"].upper()]], mates, scores, number, compat):
             break
         done += 1
     out = []
@@ -218,10 +299,11 @@ def _placed(state: DataFrame, batch: list[Row], compat: bool) -> tuple[int, list
     return max(done, 1), out
 
 
-def _place(j: int, gate: Row, lists: _Lists, best: list[tuple], mates: dict, keep: np.ndarray, swap: np.ndarray, number, compat: bool) -> bool:
-    """Put one gate of the batch into the lists; false if a pattern that it needs wasn't fetched."""
+def _place(gate: Row, lists: _Lists, best: list[tuple], mates: dict, scores: _Scores, number, compat: bool) -> bool:
+    """Put one gate of the batch into the lists; false if a slot that it may need isn't known."""
     g, pattern = gate["group"], gate["pattern"]
     new = _Marker(gate["contig"], gate["side"], number(pattern), pattern)
+    keep, swap = scores.of(pattern.upper())
     if g is not None:
         if lists.sizes.get(g, 0) < 1:
             return True
@@ -241,34 +323,33 @@ def _place(j: int, gate: Row, lists: _Lists, best: list[tuple], mates: dict, kee
             if left is None or right is None:
                 first = left is None
             else:
-                a, b = keep[j, left.number], keep[j, right.number]
+                a, b = keep[left.number], keep[right.number]
                 first = a > b or a == b and mate[2] == "right"
             slot, at = before if first else after
             lists.insert(slot, len(lists.open(slot)) - 1 if at is None else at, new)
             return True
     # slots that no gate of the batch has changed, in order, and those that it made
-    found = next(((-s, name, turned, i, 0, None) for s, name, turned, i in best if (name, i) not in lists.touched), None)
-    for slot, line in lists.touched.items():
-        if g is None or slot[0] == g:
-            for k in range(len(line) - 1):
-                x, y = line[k], line[k + 1]
-                if x is not None and y is not None and x.contig != y.contig:
-                    for turned, scores in ((False, keep), (True, swap))[: 2 if g is None else 1]:
-                        s = int(scores[j, x.number] + scores[j, y.number])
-                        if s > 0 and (found is None or (-s, slot[0], turned, slot[1], k) < found[:5]):
-                            found = (-s, slot[0], turned, slot[1], k, line)
+    found = next(((-s, name, turned, i, 0) for s, name, turned, i in best if (name, i) not in lists.touched), None)
+    listed = found is not None or len(best) < KEPT
+    made = lists.slots.best(g, (keep,) if g is not None else (keep, swap))
+    if made is not None and (found is None or made < found):
+        found = made
+    if not listed:
+        s, name, turned, i = best[-1]
+        if found is None or found[:4] > (-s, name, turned, i):
+            return False
     if found is None:
         if g is None:
             return True
         head = lists.touched.get((g, 0), [])
-        if lists.sizes[g] + sum(len(line) - 2 for slot, line in lists.touched.items() if slot[0] == g) < 2:
+        if lists.sizes[g] < 2 and lists.sizes[g] + sum(len(line) - 2 for slot, line in lists.touched.items() if slot[0] == g) < 2:
             return True
         # behind the first marker
         lists.insert(*(((g, 0), 2) if len(head) > 2 else ((g, 1), 1)), new)
         return True
-    score, name, new.swap, i, k, line = found
+    score, name, new.swap, i, k = found
     new.score = -score
-    if line is None and not lists.knows((name, i)):
+    if not lists.knows((name, i)):
         return False
     if new.swap and not compat:
         new.pattern = _flipped(pattern)

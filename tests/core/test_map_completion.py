@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from phasewright.functions import flip, lod_score, match_score
-from phasewright.operators import maps
+from phasewright.operators import map_completion, maps
 from phasewright.operators.map_completion import completed_maps
 from phasewright.operators.pattern_pairs import Planes, bit_planes, equal_places, pair_scores
 
@@ -206,3 +206,26 @@ def test_slots_meet_patterns_once(spark, monkeypatch):
                     if own in (None, g) and (n := score(q, x[3], False) + score(q, y[3], False)) > best[3]:
                         best = (g, x[1], swap, n)
         assert got[k] == best
+
+
+def test_rounds_do_not_grow_with_gates(spark, monkeypatch):
+    gmap, gates = random_maps(31, 5, 60, 1500, loose=0.3)
+    rounds = []
+    placed = map_completion._placed
+    monkeypatch.setattr(map_completion, "_placed", lambda state, batch, compat: rounds.append(len(batch)) or placed(state, batch, compat))
+    done = completed_maps(spark.createDataFrame(gmap, MAP), spark.createDataFrame(gates, GATES))
+    want, left = fold(gmap, gates)
+    assert set(map(tuple, done.maps.collect())) == want
+    assert {(x.contig, x.side) for x in done.unplaced.collect()} == left
+    assert len(rounds) <= 2  # one for each 512 gates before
+
+
+@pytest.mark.parametrize("kept", [1, 2])
+def test_gates_that_need_more_slots_than_listed(spark, monkeypatch, kept):
+    monkeypatch.setattr(map_completion, "KEPT", kept)
+    for seed, cells in enumerate((3, 30)):
+        gmap, gates = random_maps(70 + seed, cells, 12, 25)
+        done = completed_maps(spark.createDataFrame(gmap, MAP), spark.createDataFrame(gates, GATES))
+        want, left = fold(gmap, gates)
+        assert set(map(tuple, done.maps.collect())) == want
+        assert {(x.contig, x.side) for x in done.unplaced.collect()} == left
