@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import checkpoint, map_texts, mix, release, small_side, table, utf8, without, word_grams
+from .common import checkpoint, map_texts, mix, release, settled, small_side, table, utf8, without, word_grams
 from .graph import ROWS_A_TASK, components
 
 #: A token of at least so many sets may count as frequent, ...
@@ -361,11 +361,11 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
     shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     # s: how many keys of its set come at or after a key, the rarest first
     later = W.partitionBy("node").orderBy(F.col("c").desc(), F.col("sig").desc())
-    members = checkpoint(keys.join(shared, "sig").withColumn("s", F.row_number().over(later)))
+    members = settled(keys.join(shared, "sig").withColumn("s", F.row_number().over(later)))
 
     comps = members.select("node").distinct().withColumn("comp", F.col("node"))
     parts = max(6, math.ceil(comps.count() / ROWS_A_TASK))
-    comps = checkpoint(comps.coalesce(parts))
+    comps = settled(comps.coalesce(parts))
     del keys, shared, counts
     release(docs.sparkSession)
 
@@ -376,7 +376,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         tag = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"_c{c}"))
         links = links.join(tag("a"), "a").join(tag("b"), "b").select(F.col("_ca").alias("a"), F.col("_cb").alias("b")).where("a <> b").distinct()
         new = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
-        return checkpoint(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")).coalesce(parts))
+        return settled(comps.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")).coalesce(parts))
 
     def open_keys(rows: DataFrame) -> DataFrame:
         """The rows whose key is in several components."""
@@ -390,14 +390,14 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
     few, borders = [members.where(F.col("c") < FREQUENT).select("sig", "node", "n", "s")], []
     many = members.where(F.col("c") >= FREQUENT).select("sig", "node", "n", "rare")
     for _ in range(rounds):
-        many = checkpoint(open_keys(many).coalesce(parts))
+        many = settled(open_keys(many).coalesce(parts))
         by_key = many.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0]
         if (by_key or 0) <= _FEW_PAIRS:
             few.append(many.select("sig", "node", "n", F.lit(1 << 30).alias("s")))
             break  # listed at once more cheaply than by another round
         # the sets of a key go by the one of fewest rare tokens, so that keys of one family make one group
         named = many.groupBy("sig").agg(F.min_by("node", F.struct("rare", F.xxhash64("node"))).alias("grp"))
-        pairs = checkpoint(many.join(named, "sig").select("node", "n", "rare", "grp").distinct().coalesce(parts))
+        pairs = settled(many.join(named, "sig").select("node", "n", "rare", "grp").distinct().coalesce(parts))
         if pairs.isEmpty():
             break
         sets = _whole_sets(docs, nodes.join(small_side(pairs.select("node").distinct()), "node", "left_semi"), rule).select("node", "tokens")
@@ -409,7 +409,7 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         borders.append(seen.where("place IS NOT NULL").select("node", "n", "grp", "nearest", "shared", "place", "reach"))
         keys = seen.select("node", "n", "rare", F.explode("keys").alias("sig")).distinct()
         shared = keys.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        again = checkpoint(keys.join(shared, "sig").coalesce(parts))
+        again = settled(keys.join(shared, "sig").coalesce(parts))
         del sets, keys, shared, pairs, named
         release(docs.sparkSession)
         few.append(again.where(F.col("c") < FREQUENT).select("sig", "node", "n", F.lit(1 << 30).alias("s")))
@@ -432,11 +432,11 @@ def _component_rows(docs: DataFrame, rule: Rule, id_col: str, text_col: str, rou
         mine = side(outside.withColumn("place", F.explode("reach")), "a", "grp", "place", F.col("shared").alias("_ta"))
         theirs = side(border, "b", "grp", "place", F.col("shared").alias("_tb"))
         pairs = pairs.union(mine.join(theirs, ["grp", "place"]).where(apart & (F.least("_ta", "_tb") >= common)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    near = checkpoint(_pairs_where(pairs.distinct(), nodes, "low", _may_link(rule)))
+    near = settled(_pairs_where(pairs.distinct(), nodes, "low", _may_link(rule)))
     del pairs
     release(docs.sparkSession)
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    links = checkpoint(_pairs_where(near, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
+    links = settled(_pairs_where(near, _whole_sets(docs, nodes.join(ends, "node", "left_semi"), rule), "tokens", _links(rule)))
     comps = merged(comps, links)
 
     grouped = nodes.select("key", "node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
