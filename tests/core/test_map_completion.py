@@ -229,3 +229,26 @@ def test_gates_that_need_more_slots_than_listed(spark, monkeypatch, kept):
         want, left = fold(gmap, gates)
         assert set(map(tuple, done.maps.collect())) == want
         assert {(x.contig, x.side) for x in done.unplaced.collect()} == left
+
+
+def test_many_gates_in_one_round(spark, monkeypatch):
+    gmap, gates = random_maps(90, 6, 300, 9000, loose=0.3)
+    rounds = []
+    placed = map_completion._placed
+    monkeypatch.setattr(map_completion, "_placed", lambda state, batch, compat: rounds.append(len(batch)) or placed(state, batch, compat))
+    tables = spark.createDataFrame(gmap, MAP), spark.createDataFrame(gates, GATES)
+    whole = completed_maps(*tables).maps.toPandas().sort_values(["group_id", "ord"])
+    assert len(rounds) == 1  # 8,192 gates a round before
+    parts = completed_maps(*tables, batch_rows=4000).maps.toPandas().sort_values(["group_id", "ord"])
+    assert whole.astype(str).values.tolist() == parts.astype(str).values.tolist()
+
+
+@pytest.mark.parametrize("places, bits", [(3, 18), (1000, 15)])
+def test_short_heads_and_positions_that_run_out(spark, monkeypatch, places, bits):
+    monkeypatch.setattr(map_completion, "PLACES", places)
+    monkeypatch.setattr(map_completion, "BITS", bits)
+    gmap, gates = random_maps(places, 4, 40, 300)
+    done = completed_maps(spark.createDataFrame(gmap, MAP), spark.createDataFrame(gates, GATES))
+    want, left = fold(gmap, gates)
+    assert set(map(tuple, done.maps.collect())) == want
+    assert {(x.contig, x.side) for x in done.unplaced.collect()} == left
