@@ -115,3 +115,20 @@ def test_runs_pairs_and_scaffolds(spark):
     p = spark.createDataFrame([(1, "PMu")], "k int, pattern string")
     assert S.packed(S.unpacked(p), keys="k", order="idx").first().pattern == "PMu"
     assert S.switch_counts(table(spark, ["PuMMP", "uP"]), by="cell_id").first()[1:] == (2, 5)
+
+
+def test_letters_of_a_key_over_several_batches(spark):
+    # rows sorted in tasks and laid together; before, lists of rows were gathered and sorted for each key
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, 2, 3, -7, 1 << 60, (1 << 60) + 1, *range(20, 40)]), r.choice([None, 1, 2, 3]), r.random(), r.choice("PMU")) for _ in range(400)] + [(2, k, 0.5, "P") for k in range(50)]
+    rows = spark.createDataFrame(rows, "key long, a int, b double, sym string")
+    want = S.packed(rows.withColumn("o", F.struct("a", "b")), keys="key", order="o").collect()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 3, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = S.packed_letters(rows, key="key", order=["a", "b"])
+            assert sorted(map(str, got.collect())) == sorted(map(str, want))
+            assert S.packed_letters(rows.limit(0), key="key", order=["a"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
